@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, url_filter
+from . import best_fit, chat_format, decontaminate, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_best_fit_packing": best_fit.op6_best_fit_packing,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
