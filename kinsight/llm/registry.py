@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, chat_format, decontaminate, quality_rules, url_filter, warc
+from . import best_fit, chat_format, decontaminate, quality_rules, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_warc": warc.op9_warc,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
