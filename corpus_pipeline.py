@@ -1,12 +1,68 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, decontamination, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
+as Parquet in the shared folder and read again as the next stage's docs. All
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinsight.llm import best_fit, decontaminate, jaccard_join, quality_rules, substring_dedup
+from kinsight.llm.common import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.judge_quality(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: that of the least doc_id; of its rows that repeat, one. Null ids, which name no class, stay."""
+    found = jaccard_join.join_similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    first = found.groupBy("__d").agg(F.min("__h").alias("__h"))
+    held = docs.withColumn("__x", F.xxhash64("text")).join(first, (F.col("doc_id") == F.col("__d")) & (F.col("__x") == F.col("__h")))
+    kept = held.groupBy("__d").agg(*[F.first(F.struct(*docs.columns)).alias("row")]).select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that a document of smaller doc_id has, too."""
+    cut = substring_dedup.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")).where(decontaminate.contaminated())
+    bad = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    held = docs.withColumn("__x", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")), "left_anti")
+    return held.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of the packed sequences, with its token ids."""
+    return best_fit.pack(docs, best_fit.vocabulary_path())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", decontamination),
+    ("best_fit_packing", packing),
+]
 
-STAGES: list = []
+#: SQL can't express the tokenizer of the last stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
