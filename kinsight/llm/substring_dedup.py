@@ -102,49 +102,59 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class PhraseAutomaton:
-    """The automaton of a shard; words are numbered, and a number is a character of the keys."""
+    """The automaton of a shard; words are numbered, and a number is a character of the keys.
+
+    A key's places in the passages are told apart by their context, the words
+    that a window around the key can reach, and of places with one context the
+    smallest owner stands for all. So a hit costs no more for long passages,
+    and repeated lines make few places.
+    """
+
+    REACH = SIZE - KEY
 
     def __init__(self, owners: list[int], passages: list[bytes]) -> None:
-        self.owners, self.codes, self.ids = owners, {}, []
-        codes = self.codes
-        for p in passages:
-            self.ids.append(np.array([codes.setdefault(w, len(codes) + 1) for w in p.split()], dtype="<u4"))
-        places: dict[str, list[tuple[int, int]]] = {}
-        for k, ids in enumerate(self.ids):
-            text = self._text(ids)
-            for at in range(0, len(ids) - KEY + 1, STRIDE):
-                places.setdefault(text[at : at + KEY], []).append((k, at))
+        self.codes: dict[bytes, int] = {}
+        codes, reach = self.codes, self.REACH
+        none = np.full(reach, 0xFFFFFFFF, dtype="<u4")  # beyond a passage; no word has this number
+        places: dict[bytes, dict[bytes, int]] = {}
+        for owner, p in zip(owners, passages, strict=True):
+            own = np.array([codes.setdefault(w, len(codes) + 1) for w in p.split()], dtype="<u4")
+            ids = np.concatenate((none, own, none)).tobytes()
+            for at in range(0, len(own) - KEY + 1, STRIDE):
+                context = ids[4 * at : 4 * (at + KEY + 2 * reach)]
+                found = places.setdefault(context[4 * reach : 4 * (reach + KEY)], {})
+                found[context] = min(owner, found.get(context, owner))
         self.machine = ahocorasick.Automaton()
         for key, found in places.items():
-            self.machine.add_word(key, found)
+            self.machine.add_word(self._text(key), [(owner, np.frombuffer(c, dtype="<u4")) for c, owner in sorted(found.items(), key=lambda x: x[1])])
         self.machine.make_automaton()
         self.empty = not places
 
     @staticmethod
-    def _text(ids: np.ndarray) -> str:
-        return ids.tobytes().decode("utf-32-le", "surrogatepass")
+    def _text(ids: bytes) -> str:
+        return ids.decode("utf-32-le", "surrogatepass")
 
     def covered(self, doc_id: int, text: bytes) -> np.ndarray:
         """Which words of a text are inside a window that an owner smaller than doc_id has."""
         words = text.split()
-        get = self.codes.get
+        get, reach = self.codes.get, self.REACH
         ids = np.fromiter((get(w, 0) for w in words), dtype="<u4", count=len(words))
-        out, seen = np.zeros(len(ids), dtype=bool), set()
+        out = np.zeros(len(ids), dtype=bool)
         if self.empty or len(ids) < SIZE:
             return out
-        for end, places in self.machine.iter(self._text(ids)):
-            for k, at in places:
-                line = end - KEY + 1 - at
-                if self.owners[k] >= doc_id or (k, line) in seen:
-                    continue
-                seen.add((k, line))
-                own = self.ids[k]
-                a, b = max(0, line), min(len(ids), line + len(own))
-                same = ids[a:b] == own[a - line : b - line]
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).view(np.int8)))
-                for x, y in zip(edges[::2], edges[1::2], strict=True):
-                    if y - x >= SIZE:
-                        out[a + x : a + y] = True
+        edge = np.zeros(reach, dtype="<u4")
+        padded = np.concatenate((edge, ids, edge))
+        for end, contexts in self.machine.iter(self._text(ids.tobytes())):
+            start = end - KEY + 1
+            low, high = max(0, start - reach), min(len(ids), start + KEY + reach)
+            for owner, context in contexts:  # smallest owner first
+                if owner >= doc_id or out[low:high].all():
+                    break
+                same = padded[start : start + KEY + 2 * reach] == context
+                left = np.argmin(same[:reach][::-1]) if not same[:reach].all() else reach
+                right = np.argmin(same[reach + KEY :]) if not same[reach + KEY :].all() else reach
+                if left + KEY + right >= SIZE:
+                    out[start - left : start + KEY + right] = True
         return out
 
 
