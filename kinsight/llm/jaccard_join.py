@@ -262,19 +262,19 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("text"))
     marked = stored(own.mapInArrow(_embedded, "doc_id bigint, text_hash bigint, node bigint, signature binary"), "signatures")
     nodes = marked.where("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "signature")).alias("one")
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash", "signature")).alias("one")
     )
-    nodes = stored(nodes.select("node", "copies", "first", F.col("one.text_hash").alias("text_hash"), F.col("one.signature").alias("signature")), "nodes")
+    nodes = stored(nodes.select("node", "copies", "first", "one.doc_id", "one.text_hash", "one.signature"), "nodes")
     groups = stored(components(candidate_edges(nodes.select("node", "signature"), runs(recall))), "groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "copies", "text_hash"), "node")
-    wanted = placed.select(F.col("text_hash").alias("h"), "node", "component", "blocks", "block", "copies")
-    one_each = own.select("text_hash", "text").join(wanted.select(F.col("h").alias("text_hash")).distinct(), "text_hash", "left_semi")
-    # of rows with one text any is as good: the key is the text's hash
-    texts = stored(one_each.groupBy("text_hash").agg(F.first("text").alias("text")), "texts")
-    tiles = wanted.join(texts.withColumnRenamed("text_hash", "h"), "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "copies", "doc_id", "text_hash"), "node")
+    wanted = placed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "node", "component", "blocks", "block", "copies")
+    # one row stands for a node's copies: by its id, so no text's copies meet
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).drop("doc_id", "text_hash", "d", "h")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select(
         "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "block", "copies", "text", "blocks"
     ).withColumn("across", F.col("x") != F.col("y"))
