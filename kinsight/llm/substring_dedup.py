@@ -11,8 +11,8 @@
    into an Aho-Corasick automaton over words: of every passage the phrases of KEY
    words at each STRIDE, one of which lies in any SIZE words of it. Documents
    are streamed through the automata of the shards that hold their anchors;
-   each hit is extended word by word, and runs of SIZE or more equal words are
-   the occurrences. So no hash decides what is removed.
+   the windows around each hit are looked up word for word, and those of a
+   smaller owner are the occurrences. So no hash decides what is removed.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ PHRASE = 10
 KEY = 25
 STRIDE = SIZE - KEY + 1
 #: Words of the passages of a shard, about; of one passage, at most.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 200_000
 PASSAGE_WORDS = 20_000
 #: Bytes of the documents that meet one copy of a shard, about.
 CHUNK_BYTES = 16 << 20
@@ -104,31 +104,24 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class PhraseAutomaton:
     """The automaton of a shard; words are numbered, and a number is a character of the keys.
 
-    A key's places in the passages are told apart by their context, the words
-    that a window around the key can reach, and of places with one context the
-    smallest owner stands for all. So a hit costs no more for long passages,
-    and repeated lines make few places.
+    The passages' windows are kept with their owners, a few hundred bytes each.
+    A hit of a key is confirmed by looking up the windows around it, at most
+    SIZE - KEY + 1, so it costs the same however many passages have the key.
     """
 
-    REACH = SIZE - KEY
-
     def __init__(self, owners: list[int], passages: list[bytes]) -> None:
         self.codes: dict[bytes, int] = {}
-        codes, reach = self.codes, self.REACH
-        none = np.full(reach, 0xFFFFFFFF, dtype="<u4")  # beyond a passage; no word has this number
-        places: dict[bytes, dict[bytes, int]] = {}
-        for owner, p in zip(owners, passages, strict=True):
-            own = np.array([codes.setdefault(w, len(codes) + 1) for w in p.split()], dtype="<u4")
-            ids = np.concatenate((none, own, none)).tobytes()
-            for at in range(0, len(own) - KEY + 1, STRIDE):
-                context = ids[4 * at : 4 * (at + KEY + 2 * reach)]
-                found = places.setdefault(context[4 * reach : 4 * (reach + KEY)], {})
-                found[context] = min(owner, found.get(context, owner))
+        self.windows: dict[bytes, int] = {}
+        codes, windows_ = self.codes, self.windows
         self.machine = ahocorasick.Automaton()
-        for key, found in places.items():
-            self.machine.add_word(self._text(key), [(owner, np.frombuffer(c, dtype="<u4")) for c, owner in sorted(found.items(), key=lambda x: x[1])])
+        for owner, p in zip(owners, passages, strict=True):
+            ids = np.array([codes.setdefault(w, len(codes) + 1) for w in p.split()], dtype="<u4").tobytes()
+            for at in range(0, len(ids) - 4 * SIZE + 1, 4):
+                window = ids[at : at + 4 * SIZE]
+                windows_[window] = min(owner, windows_.get(window, owner))
+            for at in range(0, len(ids) - 4 * KEY + 1, 4 * STRIDE):
+                self.machine.add_word(self._text(ids[at : at + 4 * KEY]), True)
         self.machine.make_automaton()
-        self.empty = not places
 
     @staticmethod
     def _text(ids: bytes) -> str:
@@ -137,24 +130,19 @@ class PhraseAutomaton:
     def covered(self, doc_id: int, text: bytes) -> np.ndarray:
         """Which words of a text are inside a window that an owner smaller than doc_id has."""
         words = text.split()
-        get, reach = self.codes.get, self.REACH
-        ids = np.fromiter((get(w, 0) for w in words), dtype="<u4", count=len(words))
-        out = np.zeros(len(ids), dtype=bool)
-        if self.empty or len(ids) < SIZE:
+        get, owner_of = self.codes.get, self.windows.get
+        ids = np.fromiter((get(w, 0) for w in words), dtype="<u4", count=len(words)).tobytes()
+        out = np.zeros(len(words), dtype=bool)
+        if not self.windows or len(words) < SIZE:
             return out
-        edge = np.zeros(reach, dtype="<u4")
-        padded = np.concatenate((edge, ids, edge))
-        for end, contexts in self.machine.iter(self._text(ids.tobytes())):
-            start = end - KEY + 1
-            low, high = max(0, start - reach), min(len(ids), start + KEY + reach)
-            for owner, context in contexts:  # smallest owner first
-                if owner >= doc_id or out[low:high].all():
-                    break
-                same = padded[start : start + KEY + 2 * reach] == context
-                left = np.argmin(same[:reach][::-1]) if not same[:reach].all() else reach
-                right = np.argmin(same[reach + KEY :]) if not same[reach + KEY :].all() else reach
-                if left + KEY + right >= SIZE:
-                    out[start - left : start + KEY + right] = True
+        after = 0  # windows before it are looked up
+        for end, _ in self.machine.iter(self._text(ids)):
+            first = end - KEY + 1
+            for at in range(max(after, first - (SIZE - KEY)), min(first, len(words) - SIZE) + 1):
+                owner = owner_of(ids[4 * at : 4 * (at + SIZE)])
+                if owner is not None and owner < doc_id:
+                    out[at : at + SIZE] = True
+            after = max(after, first + 1)
         return out
 
 
