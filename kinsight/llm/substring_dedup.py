@@ -29,7 +29,7 @@ from .common import stored, table
 from .hashing import sliding_min, windows, word_hashes
 
 SIZE = 50
-PHRASE = 10
+PHRASE = 25
 KEY = 25
 STRIDE = SIZE - KEY + 1
 #: Words of the passages of a shard, about; of one passage, at most.
