@@ -20,12 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of the least doc_id; of its rows that repeat, one. Null ids, which name no class, stay."""
-    found = jaccard_join.join_similar(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-    first = found.groupBy("__d").agg(F.min("__h").alias("__h"))
-    held = docs.withColumn("__x", F.xxhash64("text")).join(first, (F.col("doc_id") == F.col("__d")) & (F.col("__x") == F.col("__h")))
-    kept = held.groupBy("__d").agg(*[F.first(F.struct(*docs.columns)).alias("row")]).select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each class: of the least doc_id (nulls last), of its rows that repeat one. Texts without words are no duplicates; all stay."""
+    found = jaccard_join.join_similar(docs).where("class_node is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+    best = stored(found.groupBy("class_node").agg(F.min(order).alias("b")).select("b.__d", "b.__h"), "best")
+    rows = docs.withColumn("__h", F.xxhash64("text")).withColumn("__d", F.col("doc_id"))
+    one = [F.first(F.struct(*docs.columns)).alias("row")]
+    named = rows.join(best.where("__d is not null"), ["__d", "__h"], "left_semi").groupBy("__d", "__h").agg(*one)
+    nameless = rows.where("__d is null").join(best.where("__d is null").select("__h"), "__h", "left_semi").groupBy("__h").agg(*one)
+    wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return named.select("row.*").unionByName(nameless.select("row.*")).unionByName(wordless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,13 +250,14 @@ def _verified(group: pa.Table) -> pa.Table:
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """A row for each row of docs: doc_id, text_hash, class_id, n_links, n_text_links.
+    """A row for each row of docs: doc_id, text_hash, class_id, class_node, n_links, n_text_links.
 
     class_id is the least doc_id of the documents that links connect; n_links
     counts the other documents whose shingle sets have a Jaccard similarity of
     SIMILARITY or more with this one's, n_text_links the different sets among
-    them. A text without words has no links and is its own class; null ids
-    count as documents, and name no class unless all of it is null. Rows that
+    them; class_node tells classes apart where ids do not. A text without words
+    has no links, is its own class and has no class_node; null ids count as
+    documents, and name no class unless all of it is null. Rows that
     repeat are copies of each other. An empty table gives no rows; other columns are not read.
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("binary").alias("text"))
@@ -291,19 +292,20 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     known = nodes.select("node", "copies", "first").join(whole, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = known.groupBy("class").agg(F.min("first").alias("class_id"))
     known = known.join(least, "class").select(
-        F.col("node").alias("k"), "class_id", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("texts")
+        F.col("node").alias("k"), "class", "class_id", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("texts")
     )
     return marked.select("doc_id", "text_hash", "node").join(known, F.col("node") == F.col("k"), "left").select(
         F.col("doc_id").alias(doc_id),
         "text_hash",
         F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.col("class").alias("class_node"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"),
     )
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_similar(table(spark, sf_dir, "documents")).drop("text_hash")
+    return join_similar(table(spark, sf_dir, "documents")).drop("text_hash", "class_node")
 
 
 OP4_SQL = r"""
