@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsight.storage import scratch, stored
+
+__all__ = ["SPACE", "scratch", "stored", "table", "words"]
+
 #: Runs of characters that are not one of the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is unset (tests), in a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kinsight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back with the same schema."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """White-space separated words of a text, unchanged; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
