@@ -96,13 +96,16 @@ def filename_facts(path: Column, now: str) -> Column:
         if label == "screenshot":
             joined = F.replace(joined, F.lit("-"), F.lit(""))
         if form == "millis":
-            at = F.timestamp_millis(F.expr("0L") + F.coalesce(F.expr("null").cast("bigint"), joined.try_cast("bigint")))
+            at = F.timestamp_millis(joined.try_cast("bigint"))
         else:
             at = F.try_to_timestamp(F.when(joined != "", joined), F.lit(form))
         good = (at >= F.lit(EARLIEST).cast("timestamp")) & (at <= F.lit(now).cast("timestamp") + F.expr("interval 1 day"))
         tries.append(F.when(good, F.struct(at.cast("timestamp_ntz").alias("taken"), F.lit(label).alias("pattern"), F.lit(source).alias("own"))))
-    found, hint = F.coalesce(*tries), source_of(path)
-    return F.struct(found["taken"].alias("taken"), found["pattern"].alias("pattern"), F.when(hint != "Unknown", hint).otherwise(F.coalesce(found["own"], F.lit("Unknown"))).alias("source"))
+    whole = lambda f, hint: F.struct(
+        f["taken"].alias("taken"), f["pattern"].alias("pattern"), F.when(hint != "Unknown", hint).otherwise(F.coalesce(f["own"], F.lit("Unknown"))).alias("source")
+    )
+    # inside a lambda the chain of patterns is a value, not an expression to be repeated in each field
+    return F.get(F.zip_with(F.array(F.coalesce(*tries)), F.array(source_of(path)), whole), 0)
 
 
 def camera(make: Column, model: Column) -> Column:

@@ -707,8 +707,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "review_restore",
     with_files(
         """, g AS (SELECT pixel_hash AS cluster_key, list(file_key) AS members FROM files GROUP BY pixel_hash HAVING count(*) > 1),
-        d AS (SELECT pixel_hash AS cluster_key, file_key AS k, CASE WHEN file_key % 2 = 0 THEN 'confirmed' ELSE 'skipped' END AS state, file_key % 97 AS at FROM files WHERE file_key % 3 <> 0 UNION ALL SELECT pixel_hash, file_key + 1, 'confirmed', 200 FROM files WHERE file_key % 11 = 0),
-        last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY at DESC, k DESC) AS r FROM d) WHERE r = 1)
+        d AS (SELECT pixel_hash AS cluster_key, file_key AS k, CASE WHEN file_key % 2 = 0 THEN 'confirmed' ELSE 'skipped' END AS state, file_key % 97 AS decided FROM files WHERE file_key % 3 <> 0 UNION ALL SELECT pixel_hash, file_key + 1, 'confirmed', 200 FROM files WHERE file_key % 11 = 0),
+        last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY decided DESC, k DESC) AS r FROM d) WHERE r = 1)
         SELECT g.cluster_key, len(members)::INT AS n_members, CASE WHEN list_contains(members, k) THEN k END AS keeper_file_key, CASE WHEN list_contains(members, k) THEN state ELSE 'open' END AS state FROM g LEFT JOIN last USING (cluster_key)"""
     ),
 )
