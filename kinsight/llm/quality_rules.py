@@ -169,3 +169,44 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = judge_quality(docs, keep=["doc_id"])
     return judged.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    lists = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in COMMON.items())
+    every = ", ".join(repr(w) for w in sorted({w for v in COMMON.values() for w in v}))
+    distance = lambda p, q: (
+        f"(SELECT CASE WHEN sum(x) > 0 AND sum(y) > 0 THEN sqrt(greatest(sum(CASE WHEN x > 0 THEN x / sx * log2(2 * (x / sx) / (x / sx + y / sy)) ELSE 0 END"
+        f" + CASE WHEN y > 0 THEN y / sy * log2(2 * (y / sy) / (x / sx + y / sy)) ELSE 0 END) / 2, 0)) ELSE 0 END"
+        f" FROM (SELECT unnest({p}) AS x, unnest({q}) AS y, list_sum({p}) AS sx, list_sum({q}) AS sy))"
+    )
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(repr(k) for k in COMMON)}) THEN lang ELSE '' END AS l,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lists(l, ws) AS (VALUES {lists}, ('', [{every}])
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         len(regexp_extract_all(t, '[0-9]'))::DOUBLE AS digits, len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\x20\x09-\x0D]'))::DOUBLE AS other,
+         list_transform(ws, lambda k: len(list_filter(w, lambda x: x = k))::DOUBLE) AS hits, len(list_filter(w, lambda x: list_contains([{every}], x)))::DOUBLE AS few
+  FROM d JOIN lists USING (l)
+), h AS (
+  SELECT *, [digits, other, greatest(word_chars - digits - other, 0)] AS classes, list_concat(hits, [greatest(n_words - few, 0)::DOUBLE]) AS common FROM m
+), rc AS (SELECT l, list(s ORDER BY i) AS rc FROM (SELECT l, i, sum(v) AS s FROM (SELECT l, unnest(classes) AS v, generate_subscripts(classes, 1) AS i FROM h) GROUP BY l, i) GROUP BY l
+), rw AS (SELECT l, list(s ORDER BY i) AS rw FROM (SELECT l, i, sum(v) AS s FROM (SELECT l, unnest(common) AS v, generate_subscripts(common, 1) AS i FROM h) GROUP BY l, i) GROUP BY l
+), far AS (
+  SELECT h.*, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, {distance('classes', 'rc')} AS dc, {distance('common', 'rw')} AS dw
+  FROM h JOIN rc USING (l) JOIN rw USING (l) LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (word_chars >= {MIN_CHARS} AND dc > {MAX_CLASS_DISTANCE}) AND NOT (n_words >= {MIN_WORDS} AND dw > {MAX_WORD_DISTANCE}) AS kept
+FROM far
+"""
+
+
+OP8_SQL = _sql()

@@ -21,6 +21,7 @@ ORACLES = {
     "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
