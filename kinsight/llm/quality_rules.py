@@ -87,11 +87,11 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list
     lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     m = step.select(
         *kept,
-        F.size(w).cast("bigint").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-        F.size(F.filter(other, lambda x: x.isin(*SYMBOLS))).cast("bigint").alias("n_symbols"),
+        F.size(w).cast("bigint").alias("__n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("__word_chars"),
+        F.size(F.filter(other, lambda x: x.isin(*SYMBOLS))).cast("bigint").alias("__n_symbols"),
         lines.alias("__lines"),
-        covered.cast("bigint").alias("n_repeat_words"),
+        covered.cast("bigint").alias("__n_repeat_words"),
         F.size(other).cast("double").alias("__other"),
         F.regexp_count("__t", F.lit("[0-9]")).cast("double").alias("__digits"),
         F.transform(mine, lambda k: F.size(F.filter(few, lambda x: x == k)).cast("double")).alias("__hits"),
@@ -100,13 +100,13 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list
     return m.select(
         *kept,
         F.struct(
-            "n_words",
-            "word_chars",
-            "n_symbols",
+            F.col("__n_words").alias("n_words"),
+            F.col("__word_chars").alias("word_chars"),
+            F.col("__n_symbols").alias("n_symbols"),
             (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-            "n_repeat_words",
-            F.array(F.col("__digits"), F.col("__other"), F.greatest(F.col("word_chars") - F.col("__digits") - F.col("__other"), F.lit(0.0))).alias("classes"),
-            F.concat("__hits", F.array(F.greatest(F.col("n_words") - F.col("__few"), F.lit(0.0)))).alias("common"),
+            F.col("__n_repeat_words").alias("n_repeat_words"),
+            F.array(F.col("__digits"), F.col("__other"), F.greatest(F.col("__word_chars") - F.col("__digits") - F.col("__other"), F.lit(0.0))).alias("classes"),
+            F.concat("__hits", F.array(F.greatest(F.col("__n_words") - F.col("__few"), F.lit(0.0)))).alias("common"),
         ).alias("m"),
     )
 
