@@ -10,6 +10,7 @@ memory is one batch; at most BINS sequences of each task close early.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .token_counts import byte_characters
 
 LENGTH = 2048
 #: Open sequences of a packer.
 BINS = 512
 #: Token id that ends each document.
 END = 0
-#: Words whose ids a Python worker remembers; all are forgotten when full.
-REMEMBERED = 400_000
-#: Separates words that are encoded in one call; a special token of the vocabulary.
-MARK = "<|startoftext|>"
+#: Words, and pieces of words, whose ids a Python worker remembers; all are forgotten when full.
+REMEMBERED, REMEMBERED_PIECES = 600_000, 300_000
+#: Words that normalizing only lower-cases, and their pieces: contractions, runs of letters, digits, runs of other signs (fixed values of the vocabulary's rules).
+PLAIN = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+\Z")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -37,16 +40,22 @@ class WordEncoder:
     """Ids of whole texts, word by word with a memory of words.
 
     The vocabulary's rules drop white space and never join what it separates,
-    so a text's ids are its words' ids in a row. Words that are not remembered
-    are encoded many at a time, with MARK between them.
+    so a text's ids are its words' ids in a row. Plain words are cut into
+    pieces here and only the pieces go to the vocabulary's model; all others
+    take the tokenizer's own way. A vocabulary of other rules is found out by a
+    trial when it is loaded, and has all words take that way.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.table = byte_characters()
+        signs = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if PLAIN.match(chr(c))]
+        trial = [*signs, *(f"aB{c}d{c}{c}1x" for c in signs), "it's", "x'LL'd--'s", "'s't", "Été12,34..."]
+        self.fast = all(self._plain(w) == self._whole(w) for w in trial if "<|" not in w)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -55,32 +64,39 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        plain = [w.decode() for w in words]
-        if self.mark is None or any("<|" in w for w in plain):
-            return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4") for w in plain]
-        ids = np.array(self.tokenizer.encode(MARK.join(plain), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.mark)
-        return [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        out, known = [], self.pieces
+        for piece in PIECE.findall(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                spelled = piece if piece.isascii() else "".join([self.table[b] for b in piece.encode()])
+                ids = known[piece] = np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def _encode(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        return self._plain(word) if self.fast and PLAIN.match(word) and "<|" not in word else self._whole(word)
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text has none."""
-        split = [(t or b"").split() for t in texts]
         known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > REMEMBERED:
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces.clear()
+        if len(known) > REMEMBERED:
             known.clear()
-            fresh = list({w for words in split for w in words})
-        odd = [w for w in fresh if b"<|" in w]
-        fresh = [w for w in fresh if b"<|" not in w]
-        for at in range(0, len(fresh), 500):
-            chunk = fresh[at : at + 500]
-            for w, x in zip(chunk, self._encode(chunk), strict=True):
-                known[w] = x.tobytes()
-        for w, x in zip(odd, self._encode(odd) if odd else [], strict=True):
-            known[w] = x.tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        for text in texts:
+            words = (text or b"").split()
+            try:
+                yield b"".join(map(known.__getitem__, words))
+            except KeyError:
+                for w in words:
+                    if w not in known:
+                        known[w] = self._encode(w)
+                yield b"".join(map(known.__getitem__, words))
 
 
 class Packer:
