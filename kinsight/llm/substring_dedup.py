@@ -9,8 +9,9 @@
    has it, its owner. Runs of an owner's windows are passages.
 3. Passages are dealt to shards of bounded size. A shard's passages are compiled
    into an Aho-Corasick automaton over words: of every passage the phrases of KEY
-   words at each STRIDE, one of which lies in any SIZE words of it. Documents
-   are streamed through the automata of the shards that hold their anchors;
+   words at each STRIDE, one of which lies in any SIZE words of it. The parts of
+   documents around their anchors are streamed through the automata of the
+   shards that hold these;
    the windows around each hit are looked up word for word, and those of a
    smaller owner are the occurrences. So no hash decides what is removed.
 """
@@ -35,8 +36,8 @@ STRIDE = SIZE - KEY + 1
 #: Words of the passages of a shard, about; of one passage, at most.
 SHARD_WORDS = 200_000
 PASSAGE_WORDS = 20_000
-#: Bytes of the documents that meet one copy of a shard, about.
-CHUNK_BYTES = 16 << 20
+#: Bytes of the documents' parts that meet one copy of a shard, about.
+CHUNK_BYTES = 8 << 20
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -101,6 +102,27 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(passages, pa.binary()), _lists(anchors)], ["owner", "passage", "anchors"])
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of a document that a shard may know: the words of the windows of its anchors."""
+    for part in _parts(batches):
+        rows: list[tuple] = []
+        texts = _texts(part, "text")
+        keys = zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), strict=True)
+        for key, t, h, routes in zip(keys, texts, word_hashes(texts), part.column("routes"), strict=True):
+            words, near = t.split(), _anchors(h)
+            shards, wanted = (np.asarray(routes.values.field(c)) for c in ("shard", "anchor"))
+            for shard in np.unique(shards):
+                at = np.isin(near, wanted[shards == shard])
+                inside = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(inside, np.flatnonzero(at), 1)
+                np.add.at(inside, np.flatnonzero(at) + SIZE, -1)
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], np.cumsum(inside) > 0, [False])).view(np.int8)))
+                rows += [(int(shard), *key, int(a), b" ".join(words[a:b])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "text_hash", "start", "text"])
+
+
 class PhraseAutomaton:
     """The automaton of a shard; words are numbered, and a number is a character of the keys.
 
@@ -149,13 +171,13 @@ class PhraseAutomaton:
 def _located(docs: pa.Table, shard: pa.Table) -> pa.Table:
     machine = PhraseAutomaton(shard.column("owner").to_pylist(), shard.column("passage").to_pylist()) if shard.num_rows and docs.num_rows else None
     found = []
-    for key, text_hash, text in zip(*(docs.column(c) for c in ("doc_id", "text_hash", "text")), strict=True):
+    for key, text_hash, start, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text_hash", "start", "text")), strict=True):
         if machine is None:
             break
-        out = machine.covered(key.as_py(), text.as_py() or b"")
+        out = machine.covered(key, text)
         if out.any():
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).view(np.int8)))
-            found.append((key.as_py(), text_hash.as_py(), [{"a": int(a), "b": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+            edges = start + np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).view(np.int8)))
+            found.append((key, text_hash, [{"a": int(a), "b": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 3, kinds, strict=True)], ["doc_id", "text_hash", "spans"])
 
@@ -207,16 +229,15 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n_words = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
     shards = max(1, -(-n_words // (SHARD_WORDS * 6)))
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    # a document meets the shards that hold a passage of a smaller owner with one of its anchors
+    # a document's parts meet the shards that hold a passage of a smaller owner with one of their anchors
     first = dealt.select("shard", "owner", F.explode("anchors").alias("anchor")).groupBy("anchor", "shard").agg(F.min("owner").alias("owner"))
     wanted = shared.select("doc_id", "text_hash", F.explode("anchors").alias("anchor")).join(first, "anchor").where("owner < doc_id")
-    routes = stored(wanted.select("doc_id", "text_hash", "shard").distinct(), "routes")
-    load = routes.join(held.select("doc_id", "text_hash", F.octet_length("text").alias("n")).distinct(), ["doc_id", "text_hash"]).groupBy("shard").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK_BYTES)).cast("int").alias("copies")
-    )
+    routes = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("shard", "anchor")).alias("routes"))
+    met = held.drop("anchors").join(routes, ["doc_id", "text_hash"])
+    met = stored(met.mapInArrow(_segments, "shard bigint, doc_id bigint, text_hash bigint, start int, text binary"), "segments")
+    load = met.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / CHUNK_BYTES)).cast("int").alias("copies"))
     load = stored(load, "load")
-    met = routes.join(load, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("copies"))).drop("copies")
-    met = held.drop("anchors").dropDuplicates(["doc_id", "text_hash"]).join(met, ["doc_id", "text_hash"])
+    met = met.join(load, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("copies"))).drop("copies")
     copies = dealt.drop("anchors").join(load, "shard").select("owner", "passage", "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies").cast("bigint") - 1)).alias("copy"))
     located = met.groupBy("shard", "copy").cogroup(copies.groupBy("shard", "copy")).applyInArrow(_located, "doc_id bigint, text_hash bigint, spans array<struct<a:int,b:int>>")
     spans = stored(located.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
