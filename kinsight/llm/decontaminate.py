@@ -123,7 +123,8 @@ def find_overlaps(
     ids = named.select(F.xxhash64(F.array_join("w", " ")).alias("wid"), "item_id")
     ids = hits.select("doc_id", "text_hash", "wid").distinct().join(F.broadcast(ids) if n_windows <= FEW else ids, "wid")
     ids = ids.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = spans.join(ids, ["doc_id", "text_hash"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_hit", "items")
+    ids = ids.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "items")
+    found = ids.join(spans, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("d", "h", "n_hit", "items")
     whole = narrow.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return whole.select(
         F.col("doc_id").alias(doc_id), "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
