@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import best_fit, chat_format, decontaminate, jaccard_join, quality_rules, substring_dedup, token_counts, url_filter, warc
+from . import best_fit, chat_format, decontaminate, jaccard_join, lm_score, quality_rules, substring_dedup, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op5_url_filter": url_filter.op5_url_filter,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,

@@ -13,6 +13,11 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_all_required_queries_are_registered():
+    names = [n.split("_")[0] for n in entry.queries()]
+    assert all(names.count(f"op{k}") == 1 for k in range(1, 11)) and "pipeline" in names
+
+
 @pytest.mark.parametrize("name", ["exact_duplicate_groups", "cascade_cost", "folder_report", "scope_filter", "plan_rows", "undo_dry_run"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
