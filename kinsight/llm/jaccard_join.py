@@ -9,7 +9,8 @@
    the threshold keep one child in common at each level while others part.
    Paths that one node has alone end; buckets of at most BRUTE nodes are
    compared pair by pair on all coordinates; larger ones are split again.
-   RUNS(recall) runs bring the chance of a missed pair under the target.
+   runs(recall) runs bring the chance of a missed pair under the target at the
+   first depth; nodes of buckets that are split get the runs of the last one.
 3. Pairs that look similar join nodes into candidate groups. Within a group all
    pairs are verified with the whole shingle sets, in tiles of bounded size.
 
@@ -49,13 +50,29 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def runs(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = FIRST_DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in a bucket with probability ``recall``."""
-    more, lost = 1 / similarity - 1, 0.0
+def _lost(equal: int, depth: int, similarity: float) -> float:
+    """The chance that one run parts two nodes of so many equal coordinates within ``depth`` levels."""
+    more, n = 1 / similarity - 1, COORDINATES
+    one = equal / n
+    both, neither = one * (equal - 1) / (n - 1), (1 - one) * (n - equal - 1) / (n - 1)
+    lost = 0.0
     for _ in range(depth):
-        one = 1 - similarity + similarity * lost
-        lost = (1 - more) * one + more * one * one
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+        two = neither + (1 - both - neither) * lost + both * lost * lost
+        lost = (1 - more) * (1 - one + one * lost) + more * two
+    return lost
+
+
+def runs(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = FIRST_DEPTH) -> int:
+    """Runs after which a pair at the threshold has met in a bucket of ``depth`` with probability ``recall``, over the coordinates that it may have equal.
+
+    All pairs share the paths of a run, so half of the misses are kept back for their luck.
+    """
+    share = [math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    lost = [_lost(k, depth, similarity) if k >= LOOK * COORDINATES else 1.0 for k in range(COORDINATES + 1)]
+    for n in range(1, 1000):
+        if sum(s * x**n for s, x in zip(share, lost, strict=True)) <= (1 - recall) / 2:
+            return n
+    raise ValueError(f"{COORDINATES} coordinates can't reach a recall of {recall}")
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -106,7 +123,9 @@ def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _paths(depth: int, n_runs: int):
+def _paths(depth: int, n_runs: int, done: int = 0):
+    """Paths ``depth`` levels on; from the root for nodes that have none, by runs done + 1 to n_runs."""
+
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -115,8 +134,8 @@ def _paths(depth: int, n_runs: int):
             if "path" in batch.schema.names:
                 rows, paths = np.arange(len(nodes)), np.asarray(batch.column("path")).view(np.uint64)
             else:
-                rows = np.tile(np.arange(len(nodes)), n_runs)
-                paths = np.repeat(mixed(np.arange(1, n_runs + 1, dtype=np.uint64) * _GOLD), len(nodes))
+                rows = np.tile(np.arange(len(nodes)), n_runs - done)
+                paths = np.repeat(mixed(np.arange(done + 1, n_runs + 1, dtype=np.uint64) * _GOLD), len(nodes))
             for _ in range(depth):
                 at, paths = children(paths, values[rows])
                 rows = rows[at]
@@ -191,26 +210,34 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(*held)
 
 
-def candidate_edges(nodes: DataFrame, n_runs: int) -> DataFrame:
-    """Star edges (u, v) of nodes (node, signature) that may be similar."""
-    rows = stored(nodes.mapInArrow(_paths(FIRST_DEPTH, n_runs), "node bigint, path bigint"), "paths")
+def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Star edges (u, v) of nodes (node, signature) that may be similar.
+
+    Each level loses pairs, so nodes of a bucket that is split get as many runs
+    as the last depth needs; a pair that shares such a bucket has both there.
+    """
+    first, last = runs(recall), runs(recall, depth=LAST_DEPTH)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges, depth = None, FIRST_DEPTH
-    while True:
+
+    def level(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The edges of small buckets; the rows of large ones."""
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = stored(rows.join(counts, "path").join(nodes, "node"), "buckets")
         small = shared.where(F.col("n") <= BRUTE).select("path", "node", "signature").repartition(parts, "path").sortWithinPartitions("path")
-        found = small.mapInArrow(_compared, "u bigint, v bigint")
-        large = shared.where(F.col("n") > BRUTE)
-        if depth == LAST_DEPTH:  # alike on every level: a candidate group
-            heads = large.groupBy("path").agg(F.min("node").alias("v"))
-            found = found.unionByName(large.join(heads, "path").select(F.col("node").alias("u"), "v"))
-            large = large.limit(0)
-        edges = found if edges is None else edges.unionByName(found)
-        if depth == LAST_DEPTH or large.isEmpty():
+        return small.mapInArrow(_compared, "u bigint, v bigint"), shared.where(F.col("n") > BRUTE)
+
+    edges, large = level(stored(nodes.mapInArrow(_paths(FIRST_DEPTH, first), "node bigint, path bigint"), "paths"))
+    if last > first and not large.isEmpty():
+        again = nodes.join(large.select("node").distinct(), "node", "left_semi")
+        found, more = level(stored(again.mapInArrow(_paths(FIRST_DEPTH, last, first), "node bigint, path bigint"), "paths"))
+        edges, large = edges.unionByName(found), large.unionByName(more)
+    for _ in range(FIRST_DEPTH, LAST_DEPTH):
+        if large.isEmpty():
             return edges
-        rows = stored(large.select("node", "path", "signature").mapInArrow(_paths(1, n_runs), "node bigint, path bigint").distinct(), "paths")
-        depth += 1
+        found, large = level(stored(large.select("node", "path", "signature").mapInArrow(_paths(1, 0), "node bigint, path bigint").distinct(), "paths"))
+        edges = edges.unionByName(found)
+    heads = large.groupBy("path").agg(F.min("node").alias("v"))  # alike on every level: a candidate group
+    return edges.unionByName(large.join(heads, "path").select(F.col("node").alias("u"), "v"))
 
 
 def _verified(group: pa.Table) -> pa.Table:
@@ -267,7 +294,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash", "signature")).alias("one")
     )
     nodes = stored(nodes.select("node", "copies", "first", "one.doc_id", "one.text_hash", "one.signature"), "nodes")
-    groups = stored(components(candidate_edges(nodes.select("node", "signature"), runs(recall))), "groups")
+    groups = stored(components(candidate_edges(nodes.select("node", "signature"), recall)), "groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))

@@ -246,6 +246,18 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs(0.999) > jaccard_join.runs(0.9) >= 1
 
 
+def test_recall_holds_where_buckets_are_split(spark, monkeypatch):
+    """Pairs of signatures equal in 0.8 of the coordinates on average, with every bucket split to the last depth."""
+    monkeypatch.setattr(jaccard_join, "BRUTE", 1)
+    rng, n = np.random.default_rng(4), 2000
+    one, other = (rng.integers(0, 1 << 32, (n, jaccard_join.COORDINATES), dtype=np.uint32) for _ in range(2))
+    other = np.where(rng.random(one.shape) < jaccard_join.SIMILARITY, one, other)
+    rows = [(2 * i + k, bytearray(x[i].astype("<u4").tobytes())) for i in range(n) for k, x in enumerate((one, other))]
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "node bigint, signature binary"))
+    met = {tuple(sorted(r)) for r in edges.collect()}
+    assert sum((2 * i, 2 * i + 1) in met for i in range(n)) >= 0.997 * n
+
+
 def test_jaccard_join_of_nothing(docs):
     assert jaccard_join.join_similar(empty(docs)).count() == 0
 
