@@ -143,6 +143,40 @@ def test_a_held_out_text_teaches_nothing(spark, docs):
     assert before == after
 
 
+def scored_alone(text, counts):
+    """The score of one text, given the training counts of words."""
+    words = sorted(counts)
+    kinds = lm_score.word_class(np.array([counts[w] for w in words]))
+    places = lm_score.repeats(kinds, np.zeros(len(words), np.int64))
+    codes = lm_score.Codes([(0, int(k), int((kinds == k).sum()), sum(counts[w] for w, x in zip(words, kinds, strict=True) if x == k)) for k in set(kinds)])
+    tokens = [b"", *dict.fromkeys(text.split())]
+    ids = np.array([*map(tokens.index, text.split()), 0], dtype="<u4")
+    c = np.array([counts.get(t, 0) for t in tokens])
+    place = np.array([places[words.index(t)] if t in counts else 0 for t in tokens])
+    n = lm_score.ORDERS << lm_score.SPELL_BITS
+    speller, repeat = lm_score.Speller(np.ones(n), np.ones(n)), np.zeros(lm_score.REPEAT_CONTEXTS << lm_score.REPEAT_BITS)
+    return lm_score.score_block([1], np.array([len(ids)]), ids, tokens, c, repeat, speller, sum(counts.values()), len(counts), 1, codes, np.zeros(len(tokens), np.int64), place)[3][0]
+
+
+def test_context_predicts_the_next_word():
+    """Words in an order that recurs cost much less than the same words in any order."""
+    counts = {b"w%d" % i: 1 + i % 7 for i in range(200)}
+    cycle = [b"w%d" % i for i in range(0, 200, 4)]
+    mixed_up = cycle * 19
+    random.Random(5).shuffle(mixed_up)
+    assert scored_alone(b" ".join(cycle * 20), counts) > 0.6 * scored_alone(b" ".join(cycle + mixed_up), counts)
+
+
+def test_word_bits_are_a_distribution():
+    """After any text the probabilities of the words that can follow sum to one at most, and to nearly one."""
+    rng = random.Random(8)
+    counts = {b"w%d" % i: rng.choice([1, 1, 2, 3, 9, 40]) for i in range(60)}
+    before = b" ".join(rng.choice([*counts, b"own1", b"own2", b"own3"]) for _ in range(80))
+    rest = scored_alone(before, counts)
+    follow = sum(10 ** (scored_alone(before + b" " + w, counts) - rest) for w in [*counts, *(set(before.split()) - set(counts))])
+    assert 0.7 < follow < 1.0 + 1e-6
+
+
 # ---- 3
 
 
