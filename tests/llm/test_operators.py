@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import fixtures
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinsight.llm import best_fit, chat_format, decontaminate, hashing, jaccard_join, lm_score, quality_rules, substring_dedup, token_counts, url_filter, warc
@@ -143,6 +144,12 @@ def test_a_held_out_text_teaches_nothing(spark, docs):
     assert before == after
 
 
+def test_long_words_are_learned_whole():
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a" * 100, b"", b"b" * (1 << 17), b"c"], pa.binary())], ["token"])
+    learned = sum(sum(b.column("zero").to_pylist()) + sum(b.column("one").to_pylist()) for b in lm_score._spell_counts(iter([batch])))
+    assert learned == 8 * lm_score.ORDERS * (101 + (1 << 17) + 1 + 2)
+
+
 def scored_alone(text, counts):
     """The score of one text, given the training counts of words."""
     words = sorted(counts)
