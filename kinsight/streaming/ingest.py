@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def crawl_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -27,12 +28,18 @@ def ingest(stream: DataFrame, catalog: str, checkpoint: str, every: str | None =
     """Append the changed events of each micro-batch to the catalog's log.
 
     A batch is written under its own number, so one that runs again replaces
-    itself; the checkpoint is where a stopped crawl resumes.
+    itself; the checkpoint is where a stopped crawl resumes. A file is written
+    where its size or time differs from what the batches before have of it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        latest(batch).write.mode("overwrite").parquet(f"{catalog}/batch={number}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(catalog)
+        events = latest(batch)
+        if number and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            log = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(catalog)
+            events = changed(events, latest(log.where(F.col("batch") < number).drop("batch")))
+        events.select(*latest(batch).columns).write.mode("overwrite").parquet(f"{catalog}/batch={number}")
         spark.catalog.clearCache()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
