@@ -1,8 +1,8 @@
 """Near duplicates: a banded Hamming self-join, verified by thumbnails and guarded by capture time and series names.
 
 Two hashes within T bits agree on one of T + 1 bands, so the theta join becomes
-an equi-join on bands. Files of equal fingerprints are one node first; a node's
-own copies never meet each other in a bucket.
+an equi-join on bands. Every file meets every other of its buckets, copies too:
+n files of one fingerprint make n (n - 1) / 2 pairs, once for each band.
 """
 
 from __future__ import annotations
