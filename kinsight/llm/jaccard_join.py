@@ -8,9 +8,10 @@
    values of it. On average a path has 1 / SIMILARITY children, so two sets at
    the threshold keep one child in common at each level while others part.
    Paths that one node has alone end; buckets of at most BRUTE nodes are
-   compared pair by pair on all coordinates; larger ones are split again.
-   runs(recall) runs bring the chance of a missed pair under the target at the
-   first depth; nodes of buckets that are split get the runs of the last one.
+   compared pair by pair on all coordinates; nodes of larger ones go on to the
+   last depth, with the runs that it needs. Nodes that are still together there
+   in large numbers are alike on every level: a candidate group as they are.
+   runs(recall) runs bring the chance of a missed pair under the target.
 3. Pairs that look similar join nodes into candidate groups. Within a group all
    pairs are verified with the whole shingle sets, in tiles of bounded size.
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.operators.components import components
+from kinsight.operators.components import components, contracted
 
 from .common import stored, table
 from .hashing import mixed, windows, word_hashes
@@ -39,7 +40,7 @@ COORDINATES = 64
 #: Levels before buckets are first counted; levels after which a bucket is a candidate group as it is.
 FIRST_DEPTH, LAST_DEPTH = 3, 9
 #: Nodes of a bucket that are compared pair by pair.
-BRUTE = 400
+BRUTE = 1000
 #: Part of equal coordinates from which a pair is verified: four deviations below the threshold.
 LOOK = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 RECALL = 0.999
@@ -123,52 +124,33 @@ def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _paths(depth: int, n_runs: int, done: int = 0):
-    """Paths ``depth`` levels on; from the root for nodes that have none, by runs done + 1 to n_runs."""
+def _paths(depth: int, n_runs: int):
+    """The paths of each node, ``depth`` levels on, of so many runs."""
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, values = np.asarray(batch.column("node")), _signature_column(batch)
-            if "path" in batch.schema.names:
-                rows, paths = np.arange(len(nodes)), np.asarray(batch.column("path")).view(np.uint64)
-            else:
-                rows = np.tile(np.arange(len(nodes)), n_runs - done)
-                paths = np.repeat(mixed(np.arange(done + 1, n_runs + 1, dtype=np.uint64) * _GOLD), len(nodes))
-            for _ in range(depth):
-                at, paths = children(paths, values[rows])
-                rows = rows[at]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[rows], pa.int64()), pa.array(paths.view(np.int64), pa.int64())], ["node", "path"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                nodes, values = np.asarray(batch.column("node")), _signature_column(batch)
+                rows = np.tile(np.arange(len(nodes)), n_runs)
+                paths = np.repeat(mixed(np.arange(1, n_runs + 1, dtype=np.uint64) * _GOLD), len(nodes))
+                for _ in range(depth):
+                    at, paths = children(paths, values[rows])
+                    rows = rows[at]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows], pa.int64()), pa.array(paths.view(np.int64), pa.int64())], ["node", "path"])
 
     return grown
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 def _bucket_edges(nodes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
-    """Star edges of the groups that the similar pairs of a bucket form."""
-    n, forest = len(nodes), _Forest(len(nodes))
-    for i in range(n - 1):
-        alike = (values[i + 1 :] == values[i]).sum(axis=1) >= LOOK * COORDINATES
-        for j in np.flatnonzero(alike):
-            forest.join(i, i + 1 + int(j))
-    return [(int(nodes[i]), int(nodes[r])) for i in range(n) if (r := forest.root(i)) != i]
+    """Star edges of the groups that the similar pairs of a bucket (nodes ascending) form."""
+    u, v = [], []
+    for i in range(len(nodes) - 1):
+        alike = np.flatnonzero((values[i + 1 :] == values[i]).sum(axis=1) >= LOOK * COORDINATES)
+        u.append(alike + i + 1)
+        v.append(np.full(len(alike), i))
+    u, v = contracted(np.concatenate(u), np.concatenate(v))
+    return list(zip(nodes[u].tolist(), nodes[v].tolist(), strict=True))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,28 +198,23 @@ def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     Each level loses pairs, so nodes of a bucket that is split get as many runs
     as the last depth needs; a pair that shares such a bucket has both there.
     """
-    first, last = runs(recall), runs(recall, depth=LAST_DEPTH)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def level(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The edges of small buckets; the rows of large ones."""
+    def level(at: DataFrame, depth: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """The edges of small buckets; the rows (path, node) of large ones."""
+        rows = stored(at.mapInArrow(_paths(depth, runs(recall, depth=depth)), "node bigint, path bigint"), f"{name}_paths")
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stored(rows.join(counts, "path").join(nodes, "node"), "buckets")
-        small = shared.where(F.col("n") <= BRUTE).select("path", "node", "signature").repartition(parts, "path").sortWithinPartitions("path")
-        return small.mapInArrow(_compared, "u bigint, v bigint"), shared.where(F.col("n") > BRUTE)
-
-    edges, large = level(stored(nodes.mapInArrow(_paths(FIRST_DEPTH, first), "node bigint, path bigint"), "paths"))
-    if last > first and not large.isEmpty():
-        again = nodes.join(large.select("node").distinct(), "node", "left_semi")
-        found, more = level(stored(again.mapInArrow(_paths(FIRST_DEPTH, last, first), "node bigint, path bigint"), "paths"))
-        edges, large = edges.unionByName(found), large.unionByName(more)
-    for _ in range(FIRST_DEPTH, LAST_DEPTH):
-        if large.isEmpty():
-            return edges
-        found, large = level(stored(large.select("node", "path", "signature").mapInArrow(_paths(1, 0), "node bigint, path bigint").distinct(), "paths"))
-        edges = edges.unionByName(found)
-    heads = large.groupBy("path").agg(F.min("node").alias("v"))  # alike on every level: a candidate group
-    return edges.unionByName(large.join(heads, "path").select(F.col("node").alias("u"), "v"))
+        shared = stored(rows.join(counts, "path"), f"{name}_buckets")
+        small = shared.where(F.col("n") <= BRUTE).select("path", "node").join(at, "node").repartition(parts, "path").sortWithinPartitions("path")
+        return stored(small.mapInArrow(_compared, "u bigint, v bigint"), f"{name}_edges"), shared.where(F.col("n") > BRUTE).select("path", "node")
+
+    edges, large = level(nodes, FIRST_DEPTH, "first")
+    if large.isEmpty():
+        return edges
+    again = stored(nodes.join(large.select("node").distinct(), "node", "left_semi"), "again")
+    found, alike = level(again, LAST_DEPTH, "last")
+    heads = alike.groupBy("path").agg(F.min("node").alias("v"))
+    return edges.unionByName(found).unionByName(alike.join(heads, "path").select(F.col("node").alias("u"), "v"))
 
 
 def _verified(group: pa.Table) -> pa.Table:
@@ -267,10 +244,9 @@ def _verified(group: pa.Table) -> pa.Table:
     np.fill_diagonal(linked, False)
     if len(set(blocks.tolist())) > 1 or group.column("across")[0].as_py():
         linked &= blocks[:, None] != blocks[None, :]
-    forest = _Forest(n)
-    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-        forest.join(int(i), int(j))
-    roots = [int(nodes[forest.root(i)]) for i in range(n)]
+    roots = nodes.copy()
+    u, v = contracted(*np.nonzero(linked))
+    roots[u] = nodes[v]
     return pa.Table.from_arrays(
         [pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), pa.array(linked.sum(axis=1), pa.int64()), pa.array((linked * copies[None, :]).sum(axis=1), pa.int64())],
         ["node", "root", "n_texts", "n_docs"],
@@ -298,29 +274,31 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "copies", "doc_id", "text_hash"), "node")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(nodes.select("node", "copies", "doc_id", "text_hash"), "node")
     wanted = placed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "node", "component", "blocks", "block", "copies")
     # one row stands for a node's copies: by its id, so no text's copies meet
     texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).drop("doc_id", "text_hash", "d", "h")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     tiles = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select(
-        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "block", "copies", "text", "blocks"
+        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "block", "copies", "text"
     ).withColumn("across", F.col("x") != F.col("y"))
     links = tiles.groupBy("component", "x", "y").applyInArrow(_verified, "node bigint, root bigint, n_texts bigint, n_docs bigint")
     links = stored(links, "links")
-    several = placed.where("blocks > 1").select("node")
-    whole = links.join(several, "node", "left_anti").select("node", F.col("root").alias("class"), "n_texts", "n_docs")
-    split = links.join(several, "node", "left_semi")
-    if not several.isEmpty():
-        classes = components(split.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        sums = split.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-        sums = sums.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "n_texts", "n_docs")
-        whole = whole.unionByName(sums)
-    known = nodes.select("node", "copies", "first").join(whole, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = known.groupBy("class").agg(F.min("first").alias("class_id"))
-    known = known.join(least, "class").select(
-        F.col("node").alias("k"), "class", "class_id", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("n_texts", F.lit(0)).alias("texts")
+    classes = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    sums = links.where("n_texts > 0").groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
+    linked = sums.join(classes, "node").join(nodes.select("node", "first"), "node")
+    # stored, as is what is joined next: a node is in it once
+    linked = stored(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("first").alias("class_id"))
+    linked = linked.join(least, "component").select(F.col("node").alias("l"), F.col("component").alias("class"), "class_id", "n_texts", "n_docs")
+    known = nodes.select(F.col("node").alias("k"), "copies", "first").join(linked, F.col("k") == F.col("l"), "left").select(
+        "k",
+        F.coalesce("class", "k").alias("class"),
+        F.when(F.col("l").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"),
+        (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("links"),
+        F.coalesce("n_texts", F.lit(0)).alias("texts"),
     )
     return marked.select("doc_id", "text_hash", "node").join(known, F.col("node") == F.col("k"), "left").select(
         F.col("doc_id").alias(doc_id),
