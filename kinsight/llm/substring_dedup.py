@@ -247,11 +247,13 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the repeated words: texts that lose some are their other words joined by one space, all else is as it was."""
+    """docs without the repeated words: texts that lose some are their other words joined by one space, all else is as it was. Columns may have any name."""
     _, changed = find_repeats(docs, doc_id, text)
-    gone = changed.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("kept").alias("__kept"))
-    both = docs.withColumn("__x", F.xxhash64(F.col(text))).join(gone, (F.col(doc_id) == F.col("__d")) & (F.col("__x") == F.col("__h")), "left")
-    return both.select(*[(F.when(F.col("__d").isNotNull(), F.col("__kept")).otherwise(F.col(c)).alias(c) if c == text else F.col(c)) for c in docs.columns])
+    gone = changed.select(F.col("doc_id").alias("gone_d"), F.col("text_hash").alias("gone_h"), F.col("kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("h"))
+    both = rows.join(gone, (F.col("d") == F.col("gone_d")) & (F.col("h") == F.col("gone_h")), "left")
+    field = lambda c: F.col("row").getField(c)
+    return both.select(*[(F.when(F.col("gone_d").isNotNull(), F.col("kept")).otherwise(field(c)) if c == text else field(c)).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

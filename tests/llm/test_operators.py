@@ -269,6 +269,17 @@ def test_jaccard_join(docs, monkeypatch, tile):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_text_links) for r in got) == brute_classes(rows_of(docs))
 
 
+def test_tiles_meet_under_shuffle_joins(spark, docs, monkeypatch):
+    """No side is broadcast, and groups are larger than a tile: rows of many parts are joined with those of few."""
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.shuffle.partitions", "16")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = jaccard_join.join_similar(own.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_text_links) for r in got) == brute_classes(rows)
+
+
 def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BRUTE", 4)
     rng = random.Random(6)

@@ -32,3 +32,23 @@ def test_stages(spark, tmp_path):
     assert "4" not in ids("decontamination") and "5" in ids("decontamination")
     assert {str(r.doc_id) for r in seen["best_fit_packing"]} == set(ids("decontamination"))
     assert corpus_pipeline.run(spark, path).count() == len(seen["best_fit_packing"])
+
+
+CLASHING = "row string, d bigint, h bigint, others int, kept int, m int, text_hash string, class_node int, gone_d int, b int, __d int, __h int, __x int"
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    rng = random.Random(5)
+    base = fixtures.prose(rng, 120)
+    more = ("r", 1, 2, 3, 4, 5, "t", 6, 7, 8, 9, 10, 11)
+    rows = [(1, base, "en", *more), (1, base, None, *more), (2, base, "en", *more), (3, fixtures.prose(rng, 80), "xx", *(None,) * 13), (None, None, None, *(None,) * 13)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, {CLASHING}")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for now, left in ((docs, 2), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"file://{tmp_path}")
+            found = [tuple(r) for r in now.collect()]
+            assert now.columns == docs.columns and set(found) <= set(rows)
+        assert len(found) == left
+        assert stage is not corpus_pipeline.packing and corpus_pipeline.packing(spark, now, "").count() == left
+    assert not found
