@@ -47,8 +47,8 @@ def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[some], nodes[up[some]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contract a task's edges; what is left is held and met by the next ones."""
+def contracted_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contract a task's edges (u, v); what is left is held and met by the next ones."""
     u, v, size = [], [], 0
 
     def held() -> None:
@@ -75,9 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
     Rows with a null end or two equal ends connect nothing; repeated rows are one.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = edges.select("u", "v").where("u <> v").mapInArrow(_contracted, "u bigint, v bigint")
+    now = edges.select("u", "v").where("u <> v").mapInArrow(contracted_edges, "u bigint, v bigint")
     for _ in range(MOST_ROUNDS):
-        hung = now.repartition(parts, "u").mapInArrow(_contracted, "u bigint, v bigint")
+        hung = now.repartition(parts, "u").mapInArrow(contracted_edges, "u bigint, v bigint")
         # a node hangs on one node a task at most, so the set is bounded by the number of tasks
         hung = stored(hung.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("all")), "hung")
         moved = hung.select("u", "m").join(hung.select(F.col("u").alias("m"), F.col("m").alias("on")), "m", "left")
