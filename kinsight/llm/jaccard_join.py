@@ -8,10 +8,11 @@
    values of it. On average a path has 1 / SIMILARITY children, so two sets at
    the threshold keep one child in common at each level while others part.
    Paths that one node has alone end; buckets of at most BRUTE nodes are
-   compared pair by pair on all coordinates; nodes of larger ones go on to the
-   last depth, with the runs that it needs. Nodes that are still together there
-   in large numbers are alike on every level: a candidate group as they are.
-   runs(recall) runs bring the chance of a missed pair under the target.
+   compared pair by pair on all coordinates. Of larger ones, those in which
+   ALIKE of the nodes look similar to the least are a candidate group as they
+   are, as about so many of their pairs are links; nodes of the others go on to
+   the next depth, from the root and with the runs that it needs: runs(recall)
+   of them bring the chance of a missed pair under the target at each depth.
 3. Pairs that look similar join nodes into candidate groups. Within a group all
    pairs are verified with the whole shingle sets, in tiles of bounded size.
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.operators.components import components, contracted
+from kinsight.operators.components import components, contracted, contracted_edges
 
 from .common import stored, table
 from .hashing import mixed, windows, word_hashes
@@ -37,8 +38,10 @@ from .hashing import mixed, windows, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 64
-#: Levels before buckets are first counted; levels after which a bucket is a candidate group as it is.
-FIRST_DEPTH, LAST_DEPTH = 3, 9
+#: Levels at which buckets are looked at; one that is large at the last is a candidate group as it is.
+DEPTHS = (3, 6, 9)
+#: Part of a large bucket's nodes that look similar to its least one, from which it is not split.
+ALIKE = 0.5
 #: Nodes of a bucket that are compared pair by pair.
 BRUTE = 1000
 #: Part of equal coordinates from which a pair is verified: four deviations below the threshold.
@@ -63,7 +66,7 @@ def _lost(equal: int, depth: int, similarity: float) -> float:
     return lost
 
 
-def runs(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = FIRST_DEPTH) -> int:
+def runs(recall: float = RECALL, similarity: float = SIMILARITY, depth: int = DEPTHS[0]) -> int:
     """Runs after which a pair at the threshold has met in a bucket of ``depth`` with probability ``recall``, over the coordinates that it may have equal.
 
     All pairs share the paths of a run, so half of the misses are kept back for their luck.
@@ -196,25 +199,30 @@ def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Star edges (u, v) of nodes (node, signature) that may be similar.
 
     Each level loses pairs, so nodes of a bucket that is split get as many runs
-    as the last depth needs; a pair that shares such a bucket has both there.
+    as the next depth needs; a pair that shares such a bucket has both there.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def level(at: DataFrame, depth: int, name: str) -> tuple[DataFrame, DataFrame]:
-        """The edges of small buckets; the rows (path, node) of large ones."""
-        rows = stored(at.mapInArrow(_paths(depth, runs(recall, depth=depth)), "node bigint, path bigint"), f"{name}_paths")
+    edges, at = None, nodes
+    for depth in DEPTHS:
+        rows = stored(at.mapInArrow(_paths(depth, runs(recall, depth=depth)), "node bigint, path bigint"), "paths")
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stored(rows.join(counts, "path"), f"{name}_buckets")
-        small = shared.where(F.col("n") <= BRUTE).select("path", "node").join(at, "node").repartition(parts, "path").sortWithinPartitions("path")
-        return stored(small.mapInArrow(_compared, "u bigint, v bigint"), f"{name}_edges"), shared.where(F.col("n") > BRUTE).select("path", "node")
-
-    edges, large = level(nodes, FIRST_DEPTH, "first")
-    if large.isEmpty():
-        return edges
-    again = stored(nodes.join(large.select("node").distinct(), "node", "left_semi"), "again")
-    found, alike = level(again, LAST_DEPTH, "last")
-    heads = alike.groupBy("path").agg(F.min("node").alias("v"))
-    return edges.unionByName(found).unionByName(alike.join(heads, "path").select(F.col("node").alias("u"), "v"))
+        shared = stored(rows.join(counts, "path").join(at, "node"), "buckets")
+        small = shared.where(F.col("n") <= BRUTE).select("path", "node", "signature").repartition(parts, "path").sortWithinPartitions("path")
+        found = stored(small.mapInArrow(lambda rows: contracted_edges(_compared(rows)), "u bigint, v bigint"), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        large = shared.where(F.col("n") > BRUTE)
+        if large.isEmpty():
+            return edges
+        heads = large.groupBy("path").agg(F.min(F.struct("node", "signature")).alias("head"))
+        same = lambda k: F.substring("signature", 4 * k + 1, 4) == F.substring("head.signature", 4 * k + 1, 4)
+        near = sum((same(k).cast("int") for k in range(COORDINATES)), F.lit(0)) >= LOOK * COORDINATES
+        hung = stored(large.join(heads, "path").select("path", F.col("node").alias("u"), F.col("head.node").alias("v"), near.alias("near")), "hung")
+        split = hung.groupBy("path").agg(F.avg(F.col("near").cast("int")).alias("part")).where(F.col("part") < (ALIKE if depth < DEPTHS[-1] else 0)).select("path")
+        edges = edges.unionByName(hung.join(split, "path", "left_anti").select("u", "v"))
+        at = stored(at.join(hung.join(split, "path", "left_semi").select(F.col("u").alias("node")).distinct(), "node", "left_semi"), "again")
+        if at.isEmpty():
+            return edges
+    return edges
 
 
 def _verified(group: pa.Table) -> pa.Table:

@@ -280,8 +280,10 @@ def test_tiles_meet_under_shuffle_joins(spark, docs, monkeypatch):
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_text_links) for r in got) == brute_classes(rows)
 
 
-def test_large_buckets_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("alike", [0.5, 2])
+def test_large_buckets_are_split(spark, monkeypatch, alike):
     monkeypatch.setattr(jaccard_join, "BRUTE", 4)
+    monkeypatch.setattr(jaccard_join, "ALIKE", alike)
     rng = random.Random(6)
     base = fixtures.prose(rng, 300).split()
     rows = []
@@ -301,6 +303,7 @@ def test_runs_reach_the_recall():
 def test_recall_holds_where_buckets_are_split(spark, monkeypatch):
     """Pairs of signatures equal in 0.8 of the coordinates on average, with every bucket split to the last depth."""
     monkeypatch.setattr(jaccard_join, "BRUTE", 1)
+    monkeypatch.setattr(jaccard_join, "ALIKE", 2)
     rng, n = np.random.default_rng(4), 2000
     one, other = (rng.integers(0, 1 << 32, (n, jaccard_join.COORDINATES), dtype=np.uint32) for _ in range(2))
     other = np.where(rng.random(one.shape) < jaccard_join.SIMILARITY, one, other)
