@@ -110,8 +110,9 @@ def test_lm_scores(docs):
 def test_repeats_by_brute_force():
     rng = random.Random(3)
     ids, doc = np.array([rng.randrange(5) for _ in range(60)], dtype="<u4"), np.sort(np.array([rng.randrange(4) for _ in range(60)]))
-    want = [sum(ids[j] == ids[i] and doc[j] == doc[i] for j in range(i)) for i in range(60)]
-    assert lm_score.repeats(ids, doc).tolist() == want
+    same = lambda i: [j for j in range(60) if ids[j] == ids[i] and doc[j] == doc[i]]
+    before, all_ = lm_score.repeats(ids, doc)
+    assert before.tolist() == [sum(j < i for j in same(i)) for i in range(60)] and all_.tolist() == [len(same(i)) for i in range(60)]
 
 
 def test_spelling_is_a_distribution():
@@ -150,38 +151,147 @@ def test_long_words_are_learned_whole():
     assert learned == 8 * lm_score.ORDERS * (101 + (1 << 17) + 1 + 2)
 
 
-def scored_alone(text, counts):
-    """The score of one text, given the training counts of words."""
-    words = sorted(counts)
-    kinds = lm_score.word_class(np.array([counts[w] for w in words]))
-    places = lm_score.repeats(kinds, np.zeros(len(words), np.int64))
-    codes = lm_score.Codes([(0, int(k), int((kinds == k).sum()), sum(counts[w] for w, x in zip(words, kinds, strict=True) if x == k)) for k in set(kinds)])
-    tokens = [b"", *dict.fromkeys(text.split())]
-    ids = np.array([*map(tokens.index, text.split()), 0], dtype="<u4")
-    c = np.array([counts.get(t, 0) for t in tokens])
-    place = np.array([places[words.index(t)] if t in counts else 0 for t in tokens])
-    n = lm_score.ORDERS << lm_score.SPELL_BITS
-    speller, repeat = lm_score.Speller(np.ones(n), np.ones(n)), np.zeros(lm_score.REPEAT_CONTEXTS << lm_score.REPEAT_BITS)
-    return lm_score.score_block([1], np.array([len(ids)]), ids, tokens, c, repeat, speller, sum(counts.values()), len(counts), 1, codes, np.zeros(len(tokens), np.int64), place)[3][0]
+class Model:
+    """A vocabulary with counts in a kind's texts and in all, and tables of random outcomes."""
+
+    def __init__(self, seed):
+        rng = random.Random(seed)
+        self.near = {b"w%d" % i: rng.choice([0, 1, 1, 2, 3, 9, 40]) for i in range(60)}
+        self.every = {w: c + rng.choice([0, 1, 5]) or 1 for w, c in self.near.items()}
+        self.mass = np.zeros(lm_score.SYMBOLS, np.int64)
+        for w, c in self.near.items():
+            self.mass[int(lm_score.word_class(np.array([c]))[0]) if c else lm_score.ELSEWHERE] += c or self.every[w]
+        self.tree = lm_score.Tree({8: self.mass}, 5, 7)
+        n = np.random.default_rng(seed)
+        self.stretched = lm_score.stretch_tables(n.integers(0, 30, lm_score.SLOTS), n.integers(0, 30, lm_score.SLOTS))
+
+    def block(self, texts):
+        tokens = [b"", *dict.fromkeys(w for t in texts for w in t)]
+        ids = np.array([i for t in texts for i in [*map(tokens.index, t), 0]], dtype=np.int64)
+        counts = np.array([[c.get(t, 0) for t in tokens] for c in (self.near, self.every)])
+        return lm_score.Block(ids, np.array([len(t) + 1 for t in texts]), counts, self.tree, self.mass), len(tokens)
+
+    def scores(self, texts):
+        """log10 of each token's probability, but for its spelling; the text's end comes last."""
+        block, n = self.block(texts)
+        found = lm_score.token_scores(block, self.stretched, np.zeros(n))
+        return np.split(found, np.cumsum(block.sizes)[:-1])
+
+    def brute(self, text):
+        """The same, token by token."""
+        t, S = self.tree, lm_score.SYMBOLS
+        weights, refined = np.tile(np.array(lm_score.WEIGHTS, np.float32), (lm_score.GATES, 1)), lm_score._squash((np.arange(lm_score.BINS) + 0.5 - lm_score.BINS / 2) * 0.5)
+        seen, follows, symbols, run, waiting, out = Counter(), {}, [], 0, [], []
+
+        def symbol_of(w):
+            if w == b"":
+                return lm_score.END
+            if self.near.get(w):
+                return int(lm_score.word_class(np.array([self.near[w]]))[0])
+            return lm_score.ELSEWHERE if self.every.get(w) else lm_score.LACKED
+
+        def coded(node, bit, parts, gate):
+            nonlocal weights, refined
+            x = np.array([self.stretched[o + node + S * v] for o, v in zip(lm_score._OFFSETS, parts, strict=True)], np.float64)
+            at = float(x @ weights[gate])
+            p = 1 / (1 + math.exp(-at))
+            cell = int(min(max(at * 2 + lm_score.BINS / 2, 0), lm_score.BINS - 1))
+            q = (3 * p + refined[cell]) / 4
+            waiting.append((gate, x, bit, p, cell))
+            if len(waiting) == lm_score.SEGMENT:
+                new, sums, tried = weights.copy(), np.zeros(lm_score.BINS), np.zeros(lm_score.BINS)
+                for g, y, b, guess, c in waiting:
+                    new[g] += lm_score.RATE * (b - guess) * y
+                    sums[c] += b - refined[c]
+                    tried[c] += 1
+                weights, refined = new, refined + sums / (tried + 50)
+                waiting.clear()
+            return math.log10(q if bit else 1 - q)
+
+        words = [*text, b""]
+        for i, w in enumerate(words):
+            s, pair = symbol_of(w), (words[i - 2], words[i - 1]) if i >= 2 else None
+            guess = follows.get(pair) or None
+            said = symbol_of(guess) if guess else lm_score.NO_SYMBOL
+            last, last2 = (symbols[-1] if i else 0), (symbols[-2] if i > 1 else 0)
+            far, level = int(min(math.log2(i + 1) * 2, 31)), int(min((sum(symbols) + 64) / (i + 8) * 3, 63))
+
+            def parts(says, node_symbol=None):
+                return last, last * S + last2, far, says * 8 + run, level if node_symbol is None else node_symbol
+
+            gate = lambda says: 0 if says == 2 else 1 + min(run, 6)
+            log = 0.0
+            for k in range(t.length[s]):
+                says = int(t.says[said, t.node[s, k]])
+                log += coded(t.node[s, k], t.bit[s, k], parts(says), gate(says))
+            own = {x: n for x, n in seen.items() if symbol_of(x) == lm_score.LACKED}
+            if s == lm_score.LACKED and own:
+                says = 1 if said == lm_score.LACKED else 2
+                log += coded(lm_score.HAD, int(w in own), parts(says), gate(says))
+            if s != lm_score.END and not (s == lm_score.LACKED and w not in own):
+                share = lambda x: own[x] if s == lm_score.LACKED else self.near.get(x) or self.every[x]
+                whole = sum(own.values()) if s == lm_score.LACKED else self.mass[s]
+                if said == s:
+                    whole -= share(guess)
+                    if whole > 0:
+                        log += coded(lm_score.CANDIDATE, int(w == guess), parts(1, s), gate(1))
+                if w != guess or said != s:
+                    log += math.log10(share(w) / whole)
+            run = min(run + 1, 7) if guess == w and guess else 0
+            out.append(log)
+            seen[w] += 1
+            symbols.append(s)
+            if pair:
+                follows[pair] = w
+        return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lm_scores_by_brute_force(seed):
+    model, rng = Model(seed), random.Random(seed)
+    words = [*model.near, b"own1", b"own2", b"own3"]
+    phrase = [rng.choice(words) for _ in range(30)]
+    texts = [[rng.choice(words) for _ in range(n)] for n in (0, 1, 2, 300)] + [phrase * 12, [b"own1"] * 50, phrase[:3] * 9]
+    for text, found in zip(texts, model.scores(texts), strict=True):
+        assert np.allclose(found, model.brute(text), atol=1e-4)
+
+
+def test_the_next_token_is_a_distribution():
+    """After any text, the probabilities of the end, of every word and of a new word sum to one."""
+    model, rng = Model(3), random.Random(8)
+    phrase = [rng.choice([*model.near, b"own1", b"own2"]) for _ in range(10)]
+    for before in ([], [b"w3"], [b"own1"], [rng.choice([*model.near, b"own1", b"own2"]) for _ in range(80)], phrase * 6 + phrase[:4]):
+        own = {w for w in before if w not in model.near}
+        follow = sum(10 ** model.scores([[*before, w]])[0][len(before)] for w in [*model.near, *own, b"new"])
+        assert abs(follow + 10 ** model.scores([before])[0][-1] - 1) < 1e-6
 
 
 def test_context_predicts_the_next_word():
     """Words in an order that recurs cost much less than the same words in any order."""
-    counts = {b"w%d" % i: 1 + i % 7 for i in range(200)}
-    cycle = [b"w%d" % i for i in range(0, 200, 4)]
+    model = Model(4)
+    cycle = sorted(model.near)[::2]
     mixed_up = cycle * 19
     random.Random(5).shuffle(mixed_up)
-    assert scored_alone(b" ".join(cycle * 20), counts) > 0.6 * scored_alone(b" ".join(cycle + mixed_up), counts)
+    assert model.scores([cycle * 20])[0].sum() > 0.6 * model.scores([cycle + mixed_up])[0].sum()
+
 
+def test_kinds_part_texts_by_their_letters():
+    texts = [b"", b"zz", b"the other", b"Quux quiz"]
+    shares = lm_score.letters(texts)
+    assert np.allclose(shares.sum(axis=1), [0, 1, 1, 1]) and abs(shares[3][16] - 2 / 8) < 1e-9
+    cuts = {1: (25, 0.05), 2: (4, 0.1), 3: (25, 0.5)}
+    assert lm_score.kinds_of(shares, cuts).tolist() == [4, 7, 5, 6]
+    assert lm_score.kinds_of(shares[:0], cuts).tolist() == []
 
-def test_word_bits_are_a_distribution():
-    """After any text the probabilities of the words that can follow sum to one at most, and to nearly one."""
-    rng = random.Random(8)
-    counts = {b"w%d" % i: rng.choice([1, 1, 2, 3, 9, 40]) for i in range(60)}
-    before = b" ".join(rng.choice([*counts, b"own1", b"own2", b"own3"]) for _ in range(80))
-    rest = scored_alone(before, counts)
-    follow = sum(10 ** (scored_alone(before + b" " + w, counts) - rest) for w in [*counts, *(set(before.split()) - set(counts))])
-    assert 0.7 < follow < 1.0 + 1e-6
+
+def test_held_out_texts_score_above_the_base(spark):
+    """Texts of two made-up languages: what their kind has is known better than by all counts."""
+    rng = random.Random(3)
+    made = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(300)]
+    lists = made("abcdefg"), made("nopqrst")
+    rows = [(k, " ".join(rng.choice(lists[k % 2]) for _ in range(150))) for k in range(200)]
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
 # ---- 3
