@@ -93,7 +93,8 @@ def test_decontamination(spark, docs, monkeypatch):
 # ---- 2
 
 
-def test_lm_scores(docs):
+def test_lm_scores(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_BYTES", 300)  # several parts
     texts = rows_of(docs)
     got = lm_score.score_texts(docs).collect()
     assert len(got) == len(texts)
@@ -146,7 +147,7 @@ def test_a_held_out_text_teaches_nothing(spark, docs):
 
 
 def test_long_words_are_learned_whole():
-    batch = pa.RecordBatch.from_arrays([pa.array([b"a" * 100, b"", b"b" * (1 << 17), b"c"], pa.binary())], ["token"])
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a" * 100 + b" " + b"b" * (1 << 17), b"", b"c"], pa.binary())], ["words"])
     learned = sum(sum(b.column("zero").to_pylist()) + sum(b.column("one").to_pylist()) for b in lm_score._spell_counts(iter([batch])))
     assert learned == 8 * lm_score.ORDERS * (101 + (1 << 17) + 1 + 2)
 
