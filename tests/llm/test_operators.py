@@ -146,8 +146,15 @@ def test_a_held_out_text_teaches_nothing(spark, docs):
     assert before == after
 
 
+def test_packed_numbers_and_words_come_back():
+    for x in ([], [0], [1, 1 << 40, 255, 256, 3]):
+        assert lm_score.unpack(lm_score.pack(np.array(x, np.int64))).tolist() == x
+    for w in ([], [b"a"], [b"a", b"\xff\x00"]):
+        assert lm_score.unpack_words(lm_score.pack_words(w)) == w
+
+
 def test_long_words_are_learned_whole():
-    batch = pa.RecordBatch.from_arrays([pa.array([b"a" * 100 + b" " + b"b" * (1 << 17), b"", b"c"], pa.binary())], ["words"])
+    batch = pa.RecordBatch.from_arrays([pa.array([lm_score.pack_words(w) for w in ([b"a" * 100, b"b" * (1 << 17)], [], [b"c"])], pa.binary())], ["words"])
     learned = sum(sum(b.column("zero").to_pylist()) + sum(b.column("one").to_pylist()) for b in lm_score._spell_counts(iter([batch])))
     assert learned == 8 * lm_score.ORDERS * (101 + (1 << 17) + 1 + 2)
 
