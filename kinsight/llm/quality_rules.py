@@ -44,7 +44,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list
     """
     common = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     every = sorted({w for v in COMMON.values() for w in v})
-    w, other, packed, pairs, starts, few, mine = (f"__{k}" for k in ("w", "other", "packed", "pairs", "starts", "few", "own"))
+    w, other, packed, pairs, redo, starts, few, mine = (f"__{k}" for k in ("w", "other", "packed", "pairs", "redo", "starts", "few", "own"))
     kept = [F.col(c) for c in (docs.columns if keep is None else keep)]
     t, n = F.coalesce(F.col(text), F.lit("")), F.size(w)
     at = lambda i, k: F.get(F.col(w), i + k)
@@ -66,17 +66,15 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list
     )
     equal = lambda p: (at(p["a"], 0) == at(p["b"], 0)) & (at(p["a"], 1) == at(p["b"], 1)) & (at(p["a"], 2) == at(p["b"], 2))
     whole = F.sort_array(F.transform(positions, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    redone = F.flatten(
-        F.filter(
-            F.transform(whole, lambda e, j: F.when(e["h"] == F.get(whole, j - 1)["h"], F.array(F.get(whole, j - 1)["i"], e["i"]))),
-            lambda x: x.isNotNull(),
-        )
-    )
+    # a column of its own, so that a text is sorted once and not for each of its windows
+    step = step.withColumn(redo, F.when(~((n <= low) & F.forall(pairs, equal)), whole))
+    before = lambda j: F.get(F.col(redo), j - 1)
+    redone = F.flatten(F.filter(F.transform(redo, lambda e, j: F.when(e["h"] == before(j)["h"], F.array(before(j)["i"], e["i"]))), lambda x: x.isNotNull()))
     step = step.withColumn(
         starts,
         F.sort_array(
             F.array_distinct(
-                F.when((n <= low) & F.forall(pairs, equal), F.flatten(F.transform(pairs, lambda p: F.array(p["a"], p["b"])))).otherwise(redone)
+                F.when(F.col(redo).isNull(), F.flatten(F.transform(pairs, lambda p: F.array(p["a"], p["b"])))).otherwise(redone)
             )
         ),
     )
@@ -149,7 +147,7 @@ def judge_quality(
 
     A null text has no words, and fails the base rule as every text of under
     50 words does. A null or unknown language is judged by the reference of all
-    such documents. Repeated rows are judged alike; an empty table gives no
+    such documents. A very long text is judged whole: beyond 2 ** PACK words its windows are told apart by whole hashes. Repeated rows are judged alike; an empty table gives no
     rows. Other columns stay, whatever their names, but for those named here.
     """
     kept = docs.columns if keep is None else keep
@@ -166,6 +164,7 @@ def judge_quality(
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_quality of all of documents; it says how odd rows are taken."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = judge_quality(docs, keep=["doc_id"])
     return judged.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")

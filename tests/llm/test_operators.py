@@ -565,6 +565,18 @@ def test_divergence(spark):
     assert abs(r[0] - want) < 1e-12 and r[1] < 1e-7 and r[2] == 0
 
 
+def test_texts_beyond_the_packing(spark, monkeypatch):
+    """Such a text is sorted once, not once for each of its windows."""
+    monkeypatch.setattr(quality_rules, "PACK", 6)
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(60)}" for _ in range(20_000))
+    got = quality_rules.judge_quality(spark.createDataFrame([(1, text, "en")], "doc_id bigint, text string, lang string")).first()
+    w = text.split()
+    seen = Counter(zip(w, w[1:], w[2:]))
+    covered = {p for i, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for p in (i, i + 1, i + 2)}
+    assert got.m.n_repeat_words == len(covered) and got.m.n_words == 20_000
+
+
 # ---- 9
 
 
