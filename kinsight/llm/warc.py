@@ -39,7 +39,11 @@ STEP = 16384
 
 def fit_dictionary(pages: DataFrame, key: str, payload: str) -> bytes:
     """A dictionary of a bounded sample: the SAMPLES rows whose key hashes lowest. With too few rows, their bytes in a row."""
-    rows = pages.select(F.substring(F.coalesce(F.col(payload), F.lit("")), 1, SAMPLE_BYTES).cast("binary").alias("p"), F.xxhash64(key).alias("h")).orderBy("h", "p").limit(SAMPLES)
+    hashed = F.xxhash64(key)
+    # the bound comes first, from hashes alone, so that a task sends the payloads of the sample only
+    bound = pages.select(hashed.alias("h")).orderBy("h").limit(SAMPLES).agg(F.max("h")).first()[0]
+    first = F.substring(F.coalesce(F.col(payload), F.lit("")), 1, SAMPLE_BYTES).cast("binary")
+    rows = pages.select(first.alias("p"), hashed.alias("h")).where(F.col("h") <= F.lit(bound)).distinct().orderBy("h", "p").limit(SAMPLES)
     found = [bytes(r["p"]) for r in rows.select("p").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
@@ -191,6 +195,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of pages written as archives and read back; write_archives says how odd rows are taken."""
     path = scratch(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
