@@ -180,5 +180,6 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack of all of documents, with the digests of the pieces; it says how odd rows are taken."""
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary_path())
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

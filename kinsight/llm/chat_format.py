@@ -78,6 +78,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of conversations and the one that holds control strings, rendered and read back; the operators above say how odd rows are taken."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"),

@@ -9,6 +9,8 @@ bounds of the window, and the words around the position are compared with it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tokens that one pass over the documents looks for; more take more passes.
 BLOCK = 20_000
-#: Windows up to this number (of at most SIZE words each) are broadcast; more are joined by a shuffle.
+#: Rows of windows, or of windows and items, up to this number (of at most SIZE words each) are broadcast; more are joined by a shuffle.
 FEW = 100_000
 
 
@@ -37,7 +39,7 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
     return own.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("all"), i, size))).alias("w")).distinct()
 
 
-def _blocks(tokens: DataFrame) -> list[list[str]]:
+def _blocks(tokens: DataFrame) -> Iterator[list[str]]:
     """The tokens in blocks of about BLOCK, each collected on its own."""
     n = max(1, -(-tokens.count() // BLOCK))
     for k in range(n):
@@ -64,7 +66,8 @@ def find_overlaps(
     A null text has no words; an item without words has no windows; a null
     item id is the empty string. Rows of docs that repeat an id and a text get
     equal results; rows that share an id only are judged apart. An empty
-    benchmark hits nothing. Other columns of either table are not read.
+    benchmark hits nothing. Texts are searched whole, and of ties for the
+    rarest token the first in order is taken. Other columns of either table are not read.
 
     Candidates are found with lower-cased words, a test that A-Z folding
     implies; the comparison itself folds A-Z only.
@@ -86,12 +89,11 @@ def find_overlaps(
         ),
         "prefixes",
     )
-    n_windows = windows.count()
+    n_windows, n_named = windows.count(), named.count()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), _words(F.col(text)).alias("w"))
     n = F.size("w")
     narrow, hits = None, None
-    passes = list(_passes(windows))
-    for k, block in enumerate(passes or [[]]):
+    for k, block in enumerate(_passes(windows) if n_windows else [[]]):
         spots = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.lower(F.get(F.col("w"), i)).isin(block)) if block else F.array().cast("array<int>")
 
         def context(i: Column) -> Column:
@@ -121,7 +123,7 @@ def find_overlaps(
     )["n"]
     spans = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("doc_id", "text_hash", reach.cast("bigint").alias("n_hit"))
     ids = named.select(F.xxhash64(F.array_join("w", " ")).alias("wid"), "item_id")
-    ids = hits.select("doc_id", "text_hash", "wid").distinct().join(F.broadcast(ids) if n_windows <= FEW else ids, "wid")
+    ids = hits.select("doc_id", "text_hash", "wid").distinct().join(F.broadcast(ids) if n_named <= FEW else ids, "wid")
     ids = ids.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     ids = ids.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "items")
     found = ids.join(spans, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("d", "h", "n_hit", "items")
@@ -131,7 +133,8 @@ def find_overlaps(
     )
 
 
-def _passes(windows: DataFrame) -> list[list[str]]:
+def _passes(windows: DataFrame) -> Iterator[list[str]]:
+    """The prefix tokens, a block at a time."""
     return _blocks(windows.select("token").distinct())
 
 
@@ -144,6 +147,7 @@ def contaminated() -> Column:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_overlaps of documents and benchmark, with the digests of what it finds; it says how odd rows are taken."""
     found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",

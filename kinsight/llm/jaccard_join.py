@@ -319,6 +319,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_similar of all of documents; it says how odd rows are taken."""
     return join_similar(table(spark, sf_dir, "documents")).drop("text_hash", "class_node")
 
 

@@ -257,6 +257,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_repeats in all of documents, with the digests of what is left; it says how odd rows are taken."""
     profile, changed = find_repeats(table(spark, sf_dir, "documents"))
     gone = changed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n_removed", F.sha2("kept", 256).alias("sha"))
     both = profile.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h")), "left")

@@ -141,6 +141,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all of documents; the operator above says how odd rows are taken."""
     from .best_fit import vocabulary_path
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())

@@ -162,6 +162,7 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str, str], ..
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of all of pages; judge says how odd rows are taken."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages).select("page_id", "verdicts.host", "verdicts.path", "verdicts.rule", "verdicts.verdict")
 
