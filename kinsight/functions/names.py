@@ -116,11 +116,17 @@ def camera(make: Column, model: Column) -> Column:
 
 
 def is_inside(path: Column, root: Column) -> Column:
-    """Whether a path is below a root, segment by segment; a path with a ".." in it is resolved first, as far as names go."""
+    """Whether a path is below a root, segment by segment; "." and ".." are resolved first, as far as names go. Above a drive there is nothing."""
     plain = lambda p: F.lower(F.rtrim(F.replace(p, F.lit("/"), F.lit("\\")), F.lit("\\")))
-    up = plain(path)
-    for _ in range(8):  # a name and the ".." behind it, from the left
-        up = F.regexp_replace(up, r"\\(?!\.\.(?:\\|$))[^\\]+\\\.\.(?=\\|$)", "")
+
+    def step(done: Column, segment: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        names = (F.size(done) > 0) & (last != "..") & (last != "")
+        drive = (F.size(done) == 1) & last.endswith(":")
+        up = F.when(drive, done).when(names, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(segment)))
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    up = F.array_join(F.aggregate(F.split(plain(path), r"\\"), F.array().cast("array<string>"), step), "\\")
     return up.startswith(F.concat(plain(root), F.lit("\\")))
 
 
@@ -130,6 +136,23 @@ def safe_name(name: Column) -> Column:
     return F.when(kept == "", "volume").otherwise(kept)
 
 
+def folder_label(path: Column) -> Column:
+    """The last three segments of a folder's path, with an ellipsis for those before."""
+    parts = F.filter(F.split(path, r"\\"), lambda x: x != "")
+    return F.when(F.size(parts) > 3, F.concat(F.lit("...\\"), F.array_join(F.slice(parts, -3, 3), "\\"))).otherwise(F.array_join(parts, "\\"))
+
+
+def truncate(text: Column, most: int) -> Column:
+    """A text of at most so many characters, the last of them an ellipsis where it was cut."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("\u2026"))).otherwise(text)
+
+
+def format_age(seconds: Column) -> Column:
+    """Whole days from one day on, else hours, else minutes."""
+    whole = lambda unit, mark: F.concat(F.floor(seconds / unit).cast("string"), F.lit(mark))
+    return F.when(seconds >= 86400, whole(86400, "d")).when(seconds >= 3600, whole(3600, "h")).otherwise(whole(60, "m"))
+
+
 def format_bytes(n: int) -> str:
     size, units = float(n), ("B", "KB", "MB", "GB", "TB", "PB")
     for unit in units:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsight.functions.names import COPY_SUFFIX, GENERIC_NAME, stem, tier, tier_name
+from kinsight.storage import stored
 
 # Fixed values of the policy.
 DEMOTED = ("\\backup", "\\temp", "\\tmp", "\\new folder", "\\downloads", "\\recycle", "\\cache", " - copy")
@@ -183,7 +184,7 @@ def build_plan(rows: DataFrame, group: str, kind: str = "ExactBytes", min_reclai
 def number_groups(plan: DataFrame) -> DataFrame:
     """plan with ``group_no`` from 1, in order of group_key: ranks within range partitions, on top of the groups before them."""
     keys = plan.select("group_key").distinct().repartitionByRange("group_key").withColumn("p", F.spark_partition_id())
-    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("group_key")))
+    keys = stored(keys.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("group_key"))), "ranked")  # both uses see the same partitions
     sizes = keys.groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("p", "n")).alias("sizes"))
     before = F.aggregate(F.filter("sizes", lambda s: s["p"] < F.col("p")), F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
     numbers = keys.join(F.broadcast(sizes)).select("group_key", (before + F.col("r")).alias("group_no"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinsight.functions.names import LOSSLESS, LOSSY, RAW, extension
 from kinsight.functions.metadata import META_STATE
+from kinsight.storage import stored
 
 # Fixed values of the crawl.
 EXTENSIONS = (".jpg", ".jpeg", ".jpe", ".jfif", ".png", ".gif", ".bmp", ".webp", ".tif", ".tiff", ".heic", ".heif", ".avif", *RAW)
@@ -175,6 +176,7 @@ def merge_catalog(files: DataFrame, crawled: DataFrame, next_key: int) -> DataFr
     ranked = fresh.repartitionByRange("volume_id", "rel_path").sortWithinPartitions("volume_id", "rel_path").withColumn("__p", F.spark_partition_id())
     # a global row number without one task for all rows: counts of the range partitions come first
     ranked = ranked.withColumn("__i", F.row_number().over(_window("__p", "volume_id", "rel_path")))
+    ranked = stored(ranked, "ranked")  # both uses see the same partitions
     sizes = ranked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.agg(F.sort_array(F.collect_list(F.struct("__p", "n"))).alias("sizes"))
     offset = F.aggregate(F.filter("sizes", lambda s: s["__p"] < F.col("__p")), F.lit(0).cast("bigint"), lambda a, s: a + s["n"])

@@ -1,8 +1,9 @@
 """Near duplicates: a banded Hamming self-join, verified by thumbnails and guarded by capture time and series names.
 
 Two hashes within T bits agree on one of T + 1 bands, so the theta join becomes
-an equi-join on bands. Every file meets every other of its buckets, copies too:
-n files of one fingerprint make n (n - 1) / 2 pairs, once for each band.
+an equi-join on bands. A list of pairs holds every pair, copies too: n files of
+one fingerprint make n (n - 1) / 2. Clusters need connections only: files that
+nothing tells apart are one node first, and hang on it by one edge each.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ class Similarity:
     max_hamming: int = 4
     max_thumbnail: float = 8.0
     min_contrast: float = 6.0
-    #: Buckets above this are counted and left out, as a guard against flat pictures; None joins them all.
-    max_bucket: int | None = 4000
+    #: None joins all buckets; a number counts larger ones and leaves them out, on request, as a guard against flat pictures.
+    max_bucket: int | None = None
     guards: bool = True
 
 
@@ -137,12 +138,25 @@ def collapse_identical(rows: DataFrame) -> DataFrame:
     return own.join(keyed, condition).select(own["file_key"], keyed["rep"])
 
 
+def alike(rows: DataFrame, options: Similarity = Similarity()) -> DataFrame:
+    """(file_key, head) of the files of enough contrast: the least of those that neither pictures nor guards tell apart."""
+    facts = ["dhash", "phash", "thumb16", "contrast", "thumb_mean", "date_taken", "sub_sec"]
+    number = series(F.col("name"))
+    key = F.struct(*facts, F.lower(number["prefix"]).alias("prefix"), number["number"].alias("number"))
+    own = rows.where(F.col("contrast") >= options.min_contrast).select("file_key", key.alias("facts"))
+    heads = own.groupBy("facts").agg(F.min("file_key").alias("head"))
+    return own.join(heads, "facts").select("file_key", "head")
+
+
 def clusters(rows: DataFrame, options: Similarity = Similarity()) -> DataFrame:
     """(file_key, cluster): connected by equal pictures and by confirmed pairs, then split by exposure; clusters of two files or more, named by their least key."""
     first = rows.where("pixel_hash is not null").groupBy("pixel_hash").agg(F.min("file_key").alias("v"))
     same = rows.join(first, "pixel_hash").select(F.col("file_key").alias("u"), "v")
-    confirmed = near_pairs(rows, options).where("confirmed").select(F.col("i").alias("u"), F.col("j").alias("v"))
-    linked = stored(components(same.unionByName(confirmed)), "clusters")
+    heads = stored(alike(rows, options), "alike")
+    one = rows.join(heads.where("file_key = head").select("file_key"), "file_key", "left_semi")
+    confirmed = near_pairs(one, options).where("confirmed").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    copies = heads.where("file_key <> head").select(F.col("file_key").alias("u"), F.col("head").alias("v"))
+    linked = stored(components(same.unionByName(confirmed).unionByName(copies)), "clusters")
     return split_by_exposure(linked.withColumnRenamed("node", "file_key").withColumnRenamed("component", "cluster"), rows)
 
 
