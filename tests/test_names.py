@@ -95,3 +95,18 @@ def test_bands(spark):
     assert sum(w for _, w in bits.band_layout(6)) == 64
     df = rows(spark, [(0, -1), (5, 6)], "a bigint, b bigint")
     assert [r.h for r in df.select(bits.hamming(F.col("a"), F.col("b")).alias("h")).collect()] == [64, 2]
+
+
+def test_containment_resolves_any_depth(spark):
+    """Ten folders and eleven steps up end outside; a drive has nothing above it."""
+    cases = [
+        ("C:\\Quarantine" + "\\a" * 10 + "\\.." * 11 + "\\x.jpg", False),
+        ("C:\\Quarantine" + "\\a" * 10 + "\\.." * 10 + "\\x.jpg", True),
+        ("C:\\..\\..\\Quarantine\\x.jpg", True),
+        ("C:\\Quarantine\\.\\x.jpg", True),
+        ("C:/quarantine/b/../x.jpg", True),
+        ("C:\\Quarantine", False),
+    ]
+    rows = spark.createDataFrame(cases, "path string, inside boolean")
+    for r in rows.select("path", "inside", names.is_inside(F.col("path"), F.lit("C:\\Quarantine")).alias("got")).collect():
+        assert r.got == r.inside, r.path
