@@ -5,7 +5,9 @@ an integer marks each free space that has any, so the tightest sequence that
 still takes a piece is found by a shift and a count of trailing zeros. When too
 many are open, the fullest closes. Each task packs what it reads, batch by
 batch with the longest pieces of a batch first, so nothing is shuffled and the
-memory is one batch; at most BINS sequences of each task close early.
+memory is one batch. A task leaves its open sequences part-filled, at most
+BINS, so input partitions are joined until a task has PACKER_BYTES of input:
+how the input is split then matters little to how many sequences come out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .token_counts import byte_characters
 LENGTH = 2048
 #: Open sequences of a packer.
 BINS = 512
+#: Bytes of input that a task packs at least, as Spark estimates its size; the input's last task may have less.
+PACKER_BYTES = 16 << 20
 #: Token id that ends each document.
 END = 0
 #: Words, and pieces of words, whose ids a Python worker remembers; all are forgotten when full.
@@ -136,10 +140,16 @@ class Packer:
         return sequence, self.length - left
 
 
+def _gathered(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """rows over no more partitions than docs has multiples of ``size`` bytes; partitions are joined, not shuffled. An unknown size leaves them."""
+    estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.coalesce(min(max(1, -(-estimate // size)), (1 << 31) - 1))
+
+
 SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bins: int = BINS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, bins: int = BINS, packer_bytes: int = PACKER_BYTES) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     A document's ids end with END, so a null or empty text is one piece of one
@@ -170,7 +180,8 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(packed, SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return _gathered(docs, rows, packer_bytes).mapInArrow(packed, SCHEMA)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
