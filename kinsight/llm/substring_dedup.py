@@ -13,7 +13,9 @@
    documents around their anchors are streamed through the automata of the
    shards that hold these;
    the windows around each hit are looked up word for word, and those of a
-   smaller owner are the occurrences. So no hash decides what is removed.
+   smaller owner are the occurrences. So no hash decides what is removed; the
+   owner in 2. is that of 96 bits of hash, and two windows that agree in all of
+   them could leave a repeat of one in place.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .hashing import sliding_min, windows, word_hashes
+from .hashing import mixed, sliding_min, windows, word_hashes
 
 SIZE = 50
 PHRASE = 25
 KEY = 25
 STRIDE = SIZE - KEY + 1
+#: Makes a second, independent hash of a word.
+SALT = np.uint64(0xA5A3564E27F8862F)
 #: Words of the passages of a shard, about; of one passage, at most.
 SHARD_WORDS = 200_000
 PASSAGE_WORDS = 20_000
@@ -76,13 +80,25 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _distinct_pairs(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Places of the distinct pairs."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    return order[np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))[: len(k)]]
+
+
 def _windows_of_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(batches):
-        found = []
+        found, checked = [], []
         for h, own in zip(word_hashes(_texts(part, "text")), part.column("anchors"), strict=True):
             at = np.isin(_anchors(h), np.asarray(own.values))
-            found.append(np.unique(windows(h, SIZE)[at].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(found)], ["doc_id", "windows"])
+            keys, checks = windows(h, SIZE)[at].view(np.int64), (windows(mixed(h ^ SALT), SIZE)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            first = _distinct_pairs(keys, checks)
+            found.append(keys[first])
+            checked.append(checks[first])
+        sizes = pa.array(np.cumsum([0] + [len(k) for k in found]), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(checked), pa.int32())], ["w", "c"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(sizes, pairs)], ["doc_id", "windows"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +235,8 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys = shared.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "anchors")
     held = stored(own.join(keys, (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h"))).drop("d", "h"), "held")
 
-    hashed = held.mapInArrow(_windows_of_anchors, "doc_id bigint, windows array<bigint>").select("doc_id", F.explode("windows").alias("w"))
-    owned = hashed.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
+    hashed = held.mapInArrow(_windows_of_anchors, "doc_id bigint, windows array<struct<w:bigint,c:int>>").select("doc_id", F.explode("windows").alias("x"))
+    owned = hashed.groupBy("x.w", "x.c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi")
     owned = owned.groupBy("owner").agg(F.collect_list("w").alias("windows"))
     passages = stored(
         held.drop("anchors").join(owned, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "windows").mapInArrow(_passages, "owner bigint, passage binary, anchors array<bigint>"),
