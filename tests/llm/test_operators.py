@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -502,6 +503,18 @@ def test_packing(docs):
     assert best_fit.pack(empty(docs), best_fit.vocabulary_path()).count() == 0
 
 
+def test_small_partitions_share_a_packer(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    docs.repartition(20).write.parquet(path)
+    split = spark.read.parquet(path)
+    pieces = best_fit.pack(split, best_fit.vocabulary_path(), length=64)
+    assert pieces.count() == best_fit.pack(docs, best_fit.vocabulary_path(), length=64).count()
+    assert len({r[0] >> 33 for r in pieces.select("sequence_id").collect()}) == 1
+    size = sum(os.path.getsize(f"{tmp_path}/docs/{f}") for f in os.listdir(f"{tmp_path}/docs") if f.endswith(".parquet"))
+    several = best_fit.pack(split, best_fit.vocabulary_path(), length=64, packer_bytes=size // 3)
+    assert 1 < several.selectExpr("shiftright(sequence_id, 33) as p").distinct().count() <= 4
+
+
 def test_packer_keeps_few_bins_open():
     rng = random.Random(9)
     packer, free = best_fit.Packer(0, 100, 5), {}
@@ -650,5 +663,13 @@ def test_substring_dedup(docs, monkeypatch, shard, chunk):
     assert cut["1000"] is None and len(cut) == len({x[0] for x in want})
 
 
+def test_windows_are_told_apart_by_both_hashes():
+    rng = np.random.default_rng(3)
+    keys, checks = rng.integers(0, 3, 500), rng.integers(0, 50, 500).astype(np.int32)
+    at = substring_dedup._distinct_pairs(keys, checks)
+    assert sorted(zip(keys[at].tolist(), checks[at].tolist(), strict=True)) == sorted(set(zip(keys.tolist(), checks.tolist(), strict=True)))
+    assert len(substring_dedup._distinct_pairs(keys[:0], checks[:0])) == 0
+
+
 def test_substring_dedup_of_nothing(docs):
     assert substring_dedup.remove_repeats(empty(docs)).count() == 0
