@@ -17,6 +17,7 @@ COLUMNS = ("group", "kind", "action", "file_key", "kept_file_key", "score", "wid
     "pixel_hash",
     "reason",
 )
+BOM = "\ufeff"
 KINDS = ("ExactBytes", "IdenticalPicture", "NearDuplicate", "ReviewedByHuman")
 ACTIONS = ("Keep", "Quarantine", "Skip")
 MANIFEST = ("action_id", "origin_volume", "origin_rel", "destination", "size", "state")
@@ -25,8 +26,8 @@ _OPTIONAL = ("kept_file_key", "jpeg_quality")
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
-    """plan has COLUMNS; numbers stay numbers, texts are quoted where they must be."""
-    plan.select(*[F.col(c).cast("string") for c in COLUMNS]).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    """plan has COLUMNS; numbers stay numbers, texts are quoted where they must be. Each file begins with a byte-order mark, as part of its header."""
+    plan.select(*[F.col(c).cast("string").alias(BOM + c if c == COLUMNS[0] else c) for c in COLUMNS]).write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:

@@ -127,6 +127,8 @@ def test_plan_csv_round_trip(spark, tmp_path):
     rows = [plan_row(path='a, "b"\\c.jpg', pixel_hash="AB", volume_guid="{v}", volume="E:\\", reason="x; y"), plan_row(action="Quarantine", kept_file_key=7, file_key=8, path="d.jpg", volume_guid="", volume="", reason="")]
     plan_csv.write_plan(spark.createDataFrame(rows, schema), f"file://{tmp_path}/plan")
     got = plan_csv.read_plan(spark, f"file://{tmp_path}/plan").orderBy("file_key").collect()
+    parts = [f.read_bytes() for f in (tmp_path / "plan").glob("*.csv")]
+    assert parts and all(p.startswith(b"\xef\xbb\xbfgroup,") for p in parts)
     assert [(r.file_key, r.action, r.path, r.kept_file_key, r.size) for r in got] == [(7, "Keep", 'a, "b"\\c.jpg', None, 99), (8, "Quarantine", "d.jpg", 7, 99)]
     assert got[0].pixel_hash == "AB"
 
