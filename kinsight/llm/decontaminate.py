@@ -18,8 +18,8 @@ from .common import stored, table
 
 #: Words of a window.
 SIZE = 13
-#: Word characters, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Word characters, before A-Z are lower-cased: all but ASCII's other ones. Java finds them about ten times faster as ranges than as the negation of those.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tokens that one pass over the documents looks for; more take more passes.
 BLOCK = 20_000

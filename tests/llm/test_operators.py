@@ -12,6 +12,7 @@ import fixtures
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinsight.llm import best_fit, chat_format, decontaminate, hashing, jaccard_join, lm_score, quality_rules, substring_dedup, token_counts, url_filter, warc
 
@@ -77,6 +78,14 @@ def brute_overlaps(docs, items):
     return out
 
 
+def test_words_of_decontamination(spark):
+    """The characters that a word may have are those of the contract's negated class, over every ASCII character and some beyond."""
+    texts = ["".join(f"a{chr(c)}" for c in range(128)), "caf\u00e9 \u6f22\u5b57-\U0001f600x \x80\u2028\ufffe\U0010ffff.Z9", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", decontaminate._words(F.col("t")).alias("w")).collect()
+    contract = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    assert {r.i: r.w for r in got} == {i: contract.findall(t or "") for i, t in enumerate(texts)}
+
+
 def test_decontamination(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 7)  # several passes
     texts = rows_of(docs)
