@@ -576,8 +576,6 @@ def test_quality_counts(docs, monkeypatch):
 
 
 def test_divergence(spark):
-    from pyspark.sql import functions as F
-
     p, q = [3.0, 1.0, 0.0], [1.0, 1.0, 2.0]
     a, b = np.array(p) / 4, np.array(q) / 4
     kl = lambda x, y: sum(u * math.log2(u / v) for u, v in zip(x, y, strict=True) if u > 0)
