@@ -108,13 +108,13 @@ def kind_of(mean: float, concentration: float, edge: float) -> str:
     return "Moved"
 
 
-#: What each kind is reported as.
+#: What each kind is reported as.
 VERDICTS = {
-    "Identical": "no visible difference",
-    "Recompressed": "spread evenly — re-encoded or resized, same moment",
-    "Moved": "concentrated — something moved, likely a different frame",
-    "Cropped": "around the edges — one is a crop of the other",
-    "Different": "too much differs — probably not the same photograph",
+    "Identical": "the pictures look the same",
+    "Recompressed": "small differences all over: another encoding or size of one shot",
+    "Moved": "one area differs: the scene changed between two shots",
+    "Cropped": "the borders differ: one picture shows a part of the other",
+    "Different": "most of the picture differs: two photographs",
 }
 DEAD_ZONE, VISIBLE, BUSIEST = 2, 6, 0.10
 

@@ -6,17 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the file format.
-COLUMNS = ("group", "kind", "action", "file_key", "kept_file_key", "score", "width", "height", "size") + (
-    "has_exif",
-    "exif_tags",
-    "date_taken",
-    "jpeg_quality",
-    "volume_guid",
-    "volume",
-    "path",
-    "pixel_hash",
-    "reason",
-)
+COLUMNS = (
+    "group", "kind", "action", "file_key", "kept_file_key", "score", "width", "height", "size", "has_exif", "exif_tags", "date_taken", "jpeg_quality", "volume_guid", "volume", "path", "pixel_hash", "reason",
+)
 BOM = "\ufeff"
 KINDS = ("ExactBytes", "IdenticalPicture", "NearDuplicate", "ReviewedByHuman")
 ACTIONS = ("Keep", "Quarantine", "Skip")
