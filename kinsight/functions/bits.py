@@ -30,10 +30,3 @@ def bands(h: Column, max_distance: int, kind: int) -> Column:
         key = key.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else key
         parts.append(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("band"), key.alias("key")))
     return F.array(*parts)
-
-
-def thumbnail_distance(a: Column, b: Column, mean_a: Column, mean_b: Column, spread_a: Column, spread_b: Column) -> Column:
-    """Mean absolute difference once b has the mean and spread of a; null for arrays of different sizes. The statistics are columns, as each element uses them."""
-    gain = F.when(spread_b < 1e-6, 1.0).otherwise(spread_a / F.greatest(spread_b, F.lit(1e-6)))
-    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - ((y - mean_b) * gain + mean_a))), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(a) == F.size(b), total / F.size(a))

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsight.functions.bits import bands, hamming, thumbnail_distance
-from kinsight.functions.names import different_frames, series
+from kinsight.functions.names import series
+from kinsight.operators import banded
 from kinsight.operators.components import components
 from kinsight.storage import stored
 
@@ -34,56 +34,26 @@ def usable(files: DataFrame, prints: DataFrame) -> DataFrame:
     return files.where("present and decode_state = 1").join(prints, "file_key")
 
 
-def _keys(rows: DataFrame, options: Similarity) -> DataFrame:
-    both = F.concat(bands(F.col("dhash"), options.max_hamming, 0), bands(F.col("phash"), options.max_hamming, 1))
-    return rows.select("file_key", F.explode(both).alias("b")).select("file_key", "b.*")
-
-
 def buckets(rows: DataFrame, options: Similarity = Similarity()) -> DataFrame:
     """(kind, band, key, n) of the buckets that two rows or more are in."""
-    return _keys(rows, options).groupBy("kind", "band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return banded.sizes(rows, options.max_hamming).where("n > 1")
 
 
 def candidate_pairs(rows: DataFrame, options: Similarity = Similarity()) -> DataFrame:
     """Distinct (i, j), i < j, of rows (file_key, dhash, phash) that share a band."""
-    found = buckets(rows, options)
-    if options.max_bucket is not None:
-        found = found.where(F.col("n") <= options.max_bucket)
-    keys = _keys(rows, options).join(found.select("kind", "band", "key"), ["kind", "band", "key"])
-    a, b = keys.withColumnRenamed("file_key", "i"), keys.withColumnRenamed("file_key", "j")
-    return a.join(b, ["kind", "band", "key"]).where("i < j").select("i", "j").distinct()
-
-
-_FACTS = ("dhash", "phash", "thumb16", "contrast", "thumb_mean", "date_taken", "sub_sec", "name", "pixel_hash")
-
-
-def _facts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col("file_key").alias(key), F.struct(*_FACTS).alias(f"f{key}"))
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.least(hamming(a["dhash"], b["dhash"]), hamming(a["phash"], b["phash"])).cast("int")
-
-
-def separate(a: Column, b: Column) -> Column:
-    """Two exposures by what the pictures don't show: capture times that differ, or numbers of one series where a time is missing."""
-    both = a["date_taken"].isNotNull() & b["date_taken"].isNotNull()
-    parts = a["sub_sec"].isNotNull() & b["sub_sec"].isNotNull() & (a["sub_sec"] != b["sub_sec"])
-    timed = (a["date_taken"] != b["date_taken"]) | parts
-    return F.when(both, F.coalesce(timed, F.lit(False))).otherwise(different_frames(series(a["name"]), series(b["name"])))
+    return banded.candidates(rows, options.max_hamming, options.max_bucket)
 
 
 def near_pairs(rows: DataFrame, options: Similarity = Similarity()) -> DataFrame:
     """(i, j, hamming, thumbnail, separate, confirmed) of all pairs within max_hamming; of enough contrast only.
 
-    The cheap tests come first: thumbnails are compared for pairs that pass the bits.
+    Pairs are judged where their buckets meet, so only near ones leave a task. A file without a name is of no series.
     """
-    clear = rows.where(F.col("contrast") >= options.min_contrast)
-    pairs = candidate_pairs(clear, options).join(_facts(clear, "i"), "i").join(_facts(clear, "j"), "j")
-    near = pairs.withColumn("hamming", distance(F.col("fi"), F.col("fj"))).where(F.col("hamming") <= options.max_hamming)
-    apart = separate(F.col("fi"), F.col("fj")) if options.guards else F.lit(False)
-    near = near.withColumn("separate", apart).withColumn("thumbnail", thumbnail_distance(*[F.col(f"{k}.{c}") for c in ("thumb16", "thumb_mean", "contrast") for k in ("fi", "fj")]))
-    return near.select("i", "j", "hamming", "thumbnail", "separate", (~F.col("separate") & (F.col("thumbnail") <= options.max_thumbnail)).alias("confirmed"))
+    number = series(F.col("name"))
+    clear = rows.where(F.col("contrast") >= options.min_contrast).withColumns({"prefix": F.lower(number["prefix"]), "number": number["number"]})
+    near = banded.near(clear, options.max_hamming, options.max_bucket)
+    near = near if options.guards else near.withColumn("separate", F.lit(False))
+    return near.withColumn("confirmed", ~F.col("separate") & (F.col("thumbnail") <= options.max_thumbnail))
 
 
 def histogram(values: DataFrame, column: str, size: int) -> DataFrame:
