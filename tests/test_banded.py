@@ -5,9 +5,12 @@ import itertools
 import operator
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kinsight.functions import images
 from kinsight.functions.bits import band_layout
 from kinsight.operators import banded, similar
 
@@ -83,3 +86,14 @@ def test_wide_and_narrow_rows_find_the_same(monkeypatch):
         monkeypatch.setattr(banded, "PAIRS", some)
         got = [(int(x), int(y)) for a, b in banded.close(d, p, low, ends, 1) for x, y in zip(a, b, strict=True)]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_a_thumbnail_on_the_edge_of_a_cell(spark):
+    """Its distance is 16.0 in SQL; by deviations of other last bits it was 15.999999999999998, a cell lower."""
+    a = [73, 9, 68, 26, 85, 0, 9, 0, 75, 2, 0, 7, 14, 60, 63, 0, 19, 31, 48, 14, 34, 0, 0, 0, 0, 7]
+    b = [54, 4, 0, 25, 98, 0, 6, 91, 41, 0, 0, 6, 0, 96, 52, 0, 0, 41, 43, 98, 20, 0, 9, 0, 2, 0]
+    rows = [(1, 5, 5, a, sum(a) / 26, 0.0, None, None, "a.jpg", "A"), (2, 5, 5, b, sum(b) / 26, 0.0, None, None, "b.jpg", "B")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("contrast", images.spread(F.col("thumb16")))
+    assert [r.contrast for r in df.orderBy("file_key").collect()] == [duckdb.connect().execute(f"select list_stddev_pop({t}::smallint[])").fetchone()[0] for t in (a, b)]
+    cells = similar.histogram(similar.near_pairs(df), "thumbnail", 64).where("n > 0").collect()
+    assert [(r.cell, r.n) for r in cells] == [(16, 1)]
