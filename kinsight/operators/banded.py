@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kinsight.functions.bits import band_layout, bands
 
 #: Rows of a tile, about; rows that a task takes at a time, at least; pairs that it looks at together, about.
-TILE, ROWS, PAIRS = 1 << 14, 1 << 16, 1 << 18
+TILE, ROWS, PAIRS = 1 << 14, 1 << 15, 1 << 17
 #: From so many partners on, a row is compared with a slice of them.
 WIDE = 256
 GROUP = ("kind", "band", "key", "x", "y")

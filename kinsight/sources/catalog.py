@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsight.functions import images
+from kinsight.functions import images, simhash
 from kinsight.functions.names import extension
 from kinsight.storage import stored
 
@@ -19,7 +19,6 @@ from kinsight.storage import stored
 FIRST_TICK, SECOND = 132_500_000_000_000_000, 10_000_000
 #: Volumes that are not attached.
 OFFLINE = (7, 19)
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 PROBE_BYTES = 65_536
 
 
@@ -95,32 +94,15 @@ def files(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     return made
 
 
-def _simhash(rows: DataFrame) -> Column:
-    """60 bits of the sign of summed md5 bits; rows have h."""
-    parts = [F.when(F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)) > 0, 1 << b).otherwise(0).cast("bigint") for b in range(60)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
-
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_key, dhash and phash (simhashes of words and word pairs), thumb16 (letter shares in thousandths), thumb_mean and contrast.
 
     Fingerprints are made once and kept, as a catalog keeps them.
     """
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_key"), "text", "n_chars")
-    low = F.lower("text")
-    d = d.withColumn("w", F.split(low, " "))
-    number = lambda t: F.conv(F.left(F.md5(t), F.lit(15)), 16, 10).cast("bigint")
-    one = d.select("file_key", F.explode("w").alias("t")).select("file_key", number(F.col("t")).alias("h"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
-    two = d.select("file_key", F.explode(pairs).alias("t")).select("file_key", number(F.col("t")).alias("h"))
-    dh = one.groupBy("file_key").agg(_simhash(one).alias("dhash"))
-    ph = two.groupBy("file_key").agg(_simhash(two).alias("phash"))
-    letters = [F.floor((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) * 1000 / F.greatest(F.col("n_chars"), F.lit(1))).cast("smallint") for c in LETTERS]
-    thumbs = d.select("file_key", F.array(*letters).alias("thumb16"))
-    made = stored(dh.join(ph, "file_key").join(thumbs, "file_key"), "prints")
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("file_key"), F.lower("text").alias("text"), F.col("n_chars").cast("bigint").alias("n_chars"))
+    found = stored(simhash.voted(texts), "votes")
+    hashes = found.groupBy("file_key").agg(simhash.simhash(0).alias("dhash"), simhash.simhash(simhash.BITS).alias("phash"))
+    made = hashes.join(found.select("file_key", "thumb16"), "file_key")
     total = F.aggregate("thumb16", F.lit(0).cast("bigint"), lambda a, v: a + v)
     return stored(made.withColumn("thumb_mean", total / F.size("thumb16")).withColumn("contrast", images.spread(F.col("thumb16"))), "prints")
 
