@@ -11,6 +11,7 @@ from kinsight.operators import similar
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "band_candidates",
+    "cluster_metrics",
 ]
 
 
