@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "band_candidates",
     "cluster_metrics",
+    "pixel_groups",
 ]
 
 
