@@ -13,6 +13,7 @@ NAMES = [
     "band_candidates",
     "cluster_metrics",
     "pixel_groups",
+    "similar_largest",
 ]
 
 
