@@ -14,6 +14,7 @@ NAMES = [
     "cluster_metrics",
     "pixel_groups",
     "similar_largest",
+    "similar_summary",
 ]
 
 
