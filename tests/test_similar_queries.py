@@ -15,6 +15,7 @@ NAMES = [
     "pixel_groups",
     "similar_largest",
     "similar_summary",
+    "calibration",
 ]
 
 
