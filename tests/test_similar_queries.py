@@ -16,6 +16,7 @@ NAMES = [
     "similar_largest",
     "similar_summary",
     "calibration",
+    "clusters",
 ]
 
 
