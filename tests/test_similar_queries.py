@@ -17,6 +17,7 @@ NAMES = [
     "similar_summary",
     "calibration",
     "clusters",
+    "review_totals",
 ]
 
 
