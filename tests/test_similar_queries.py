@@ -18,6 +18,7 @@ NAMES = [
     "calibration",
     "clusters",
     "review_totals",
+    "similar_listing",
 ]
 
 
