@@ -20,6 +20,7 @@ NAMES = [
     "review_totals",
     "similar_listing",
     "similarity_totals",
+    "cluster_key",
 ]
 
 
