@@ -21,6 +21,7 @@ NAMES = [
     "similar_listing",
     "similarity_totals",
     "cluster_key",
+    "hamming_histogram",
 ]
 
 
