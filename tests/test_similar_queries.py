@@ -22,6 +22,7 @@ NAMES = [
     "similarity_totals",
     "cluster_key",
     "hamming_histogram",
+    "similar_identical",
 ]
 
 
