@@ -23,6 +23,7 @@ NAMES = [
     "cluster_key",
     "hamming_histogram",
     "similar_identical",
+    "similar_pairs",
 ]
 
 
