@@ -10,14 +10,19 @@ The predictions are combined in the logistic domain with weights of a gate, the
 weights follow the coding error as the text is read (online), and an adaptive
 map of the text's own refines the result.
 
-The bits leave several words:
+The bits leave several words, which further bits of the same kind tell apart:
 
-- the word that followed the last two words when the text had them before, the
-  candidate, is told from the others of its symbol by one more mixed bit;
-- the others share the rest by their training counts;
+- the words of a symbol are numbered, and the bits of the word's number follow,
+  each predicted by hashed contexts: its place among the numbers, and that with
+  the last symbol, the last word, the last two words, and what the word says that
+  followed the last two when the text had them before, the candidate;
 - words that training lacks are split, by one more bit, into those that the text
-  had, by how often it had them, and new ones, which are spelled bit by bit,
-  predicted by the last one to four bytes.
+  had, which are numbered as they came, and new ones, which are spelled bit by
+  bit, predicted by the last one to four bytes.
+
+All bits of a text, of symbols, numbers and spellings, go through one mixer in
+the order of the text: weights of the bit's gate, learned while the text is
+read, and the adaptive map. None is taken from a count alone.
 
 The end is one of the symbols, so all continuations of a text share one
 distribution (words that training has could be spelled, too: that part is lost).
@@ -26,9 +31,10 @@ The tables are learned as a held-out text would see them: of a training text's
 words, its own occurrences are left out of the counts. Every text starts from
 the same tables and weights and learns only from itself. Weights are set once
 every SEGMENT bits of a text, from the bits before; texts of a block advance
-together. Contexts are made of symbols, positions and matches, so the tables'
-size is fixed and nothing collides in them; the vocabulary grows with the
-corpus. Texts are encoded in blocks with a dictionary each; dictionaries, not
+together. Contexts of symbols are made of symbols, positions and matches, so
+nothing collides in their tables; those of numbers and spellings are hashed to
+tables of fixed size and share slots on large inputs; the vocabulary grows with
+the corpus. Texts are encoded in blocks with a dictionary each; dictionaries, not
 tokens, are dealt by their words' hashes to parts of bounded size, where words
 are counted (by their bytes, not their hashes) and each block's counts sent back.
 """
@@ -38,10 +44,11 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +71,8 @@ PART_BYTES = 8 << 20
 #: Levels of the thresholds that tell a text's kind.
 KIND_LEVELS = 3
 GATES = 8
+#: Slots of the tables of the numbers' bits, one table a context; what a context leans on the one before it, in outcomes.
+NUMBER_BITS, NUMBER_TABLES, LEAN = 20, 4, 2.0
 LOG10 = math.log(10)
 
 
@@ -240,8 +249,8 @@ def _encoded(cuts: dict[int, tuple[int, float]]):
 
 # ---- counting ------------------------------------------------------------
 
-#: Rows of a part: a block's counts by number, zeros at the end, of which ``words`` are the words; or, of no block, the part's sums and its words, those seen once apart.
-COUNTED = "block bigint, at binary, near binary, c binary, words binary, once boolean, sums array<bigint>"
+#: Rows of a part: a block's counts and ranks by number, zeros at the end, of which ``words`` are the words; or, of no block, the part's sums and its words, those seen once apart.
+COUNTED = "block bigint, at binary, near binary, c binary, words binary, once boolean, sums array<bigint>, rank binary, part int, n array<bigint>"
 
 
 def _dealt(parts: int):
@@ -249,7 +258,7 @@ def _dealt(parts: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 words, train = unpack_words(batch.column("words")[k].as_py()), unpack(batch.column("train")[k].as_py())[1:]
-                part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+                part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * parts >> 32  # by ranges, so that ranks don't depend on the parts
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 own = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -263,7 +272,10 @@ def _dealt(parts: int):
 
 
 def _counted(kinds: list[int]):
-    """The sums are, of each kind, what the words of each symbol share; then the tokens, the words, and those of them seen once."""
+    """The sums are, of each kind, what the words of each symbol share; then the tokens, the words, and those of them seen once.
+
+    A word's rank is its place among the part's words of its symbol, for the block's kind, in the order of their hashes; n has how many there are.
+    """
 
     def counted(part: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
@@ -277,20 +289,29 @@ def _counted(kinds: list[int]):
         for row, at in zip(rows, places, strict=True):
             near[kinds.index(row["text_kind"]), at] += unpack(row["train"])  # a dictionary has a word once
         every, words = near.sum(axis=0), list(numbers)
+        in_order = np.asarray(pc.array_sort_indices(pa.array(words, pa.binary())))
+        in_order = in_order[np.argsort(np.fromiter((zlib.crc32(words[i]) for i in in_order), np.int64, len(words)), kind="stable")]
+        in_order = in_order[every[in_order] > 0]
+        rank, sizes = np.zeros((len(kinds), len(words)), np.int64), np.zeros((len(kinds), SYMBOLS), np.int64)
+        for k, own in enumerate(near):
+            symbol = known_class(own[in_order])
+            alike = np.argsort(symbol, kind="stable")
+            sizes[k] = np.bincount(symbol, minlength=SYMBOLS)
+            rank[k, in_order[alike]] = np.arange(len(alike)) - (np.cumsum(sizes[k]) - sizes[k])[symbol[alike]]
+        part_ = part.column("part")[0].as_py()
         out = []
         for row, at in zip(rows, places, strict=True):
             order = np.argsort(every[at] == 0, kind="stable")  # what training lacks comes last
             number, at, own = unpack(row["at"])[order], at[order], near[kinds.index(row["text_kind"])]
-            out.append((row["block"], pack(number), pack(own[at]), pack(every[at]), pack_words([words[i] for i in at if not every[i]]), None, None))
+            out.append((row["block"], pack(number), pack(own[at]), pack(every[at]), pack_words([words[i] for i in at if not every[i]]), None, None, pack(rank[kinds.index(row["text_kind"]), at]), part_, None))
         mass = np.zeros((len(kinds), SYMBOLS), np.int64)
         for k, own in enumerate(near):
-            symbol = np.where(own > 0, word_class(own), ELSEWHERE)
-            np.add.at(mass[k], symbol, np.where(own > 0, own, every))
-        out.append((None, None, None, None, None, None, [*mass.ravel().tolist(), int(every.sum()), int((every > 0).sum()), int((every == 1).sum())]))
+            np.add.at(mass[k], known_class(own), np.where(own > 0, own, every))
+        out.append((None, None, None, None, None, None, [*mass.ravel().tolist(), int(every.sum()), int((every > 0).sum()), int((every == 1).sum())], None, part_, sizes.ravel().tolist()))
         for once in (True, False):
             some = np.flatnonzero(every == 1 if once else every > 1)
-            out.append((None, None, None, None, pack_words([words[i] for i in some]), once, None))
-        kinds_ = (pa.int64(), *[pa.binary()] * 4, pa.bool_(), pa.list_(pa.int64()))
+            out.append((None, None, None, None, pack_words([words[i] for i in some]), once, None, None, part_, None))
+        kinds_ = (pa.int64(), *[pa.binary()] * 4, pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_, strict=True)], [x.split()[0] for x in COUNTED.split(", ")])
 
     return counted
@@ -418,6 +439,7 @@ CONTEXTS = len(CONTEXT_SIZES)
 _OFFSETS = np.cumsum((0, *CONTEXT_SIZES[:-1])) * SYMBOLS
 SLOTS = SYMBOLS * sum(CONTEXT_SIZES)
 WEIGHTS, RATE = (0.15, 0.2, 0.2, 0.25, 0.25), 0.006
+NUMBER_WEIGHTS = (0.3, 0.2, 0.15, 0.15, 0.2)
 BINS = 24
 
 
@@ -426,6 +448,11 @@ def word_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1 + FIRST, HAD - 1).astype(np.int64)
 
 
+def known_class(near: np.ndarray) -> np.ndarray:
+    """The symbol of a word that training has, by its count in the kind's texts."""
+    return np.where(near > 0, word_class(near), ELSEWHERE)
+
+
 class Tree:
     """The Huffman tree of the symbols that occur; mass: of each kind of text, what the words of each symbol share."""
 
@@ -462,15 +489,19 @@ class Block:
     training texts of the kind, and in all; mass: what the words of each symbol share.
 
     ``apart``: of the texts marked so, their own occurrences are left out of the counts.
+    ``numbered``: bits of numbers and spellings follow; else the words of a symbol share by their counts, but for the candidate.
     """
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tree: Tree, mass: np.ndarray, apart: np.ndarray | None = None) -> None:
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tree: Tree, mass: np.ndarray, apart: np.ndarray | None = None, numbered: bool = False) -> None:
         n = len(ids)
         self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
         doc = self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        position = np.arange(n) - self.starts[doc]
+        position = self.position = np.arange(n) - self.starts[doc]
+        self.numbered = numbered
         seen, total = repeats(ids, doc)
         near, every = counts[0][ids], counts[1][ids]
+        #: The symbol under which a word is numbered, whether or not it is left out of the counts.
+        self.listed = np.where(ids == 0, END, np.where(every > 0, known_class(near), LACKED))
         if apart is not None:
             near, every = np.where(apart[doc], near - total, near), np.where(apart[doc], every - total, every)
         end = ids == 0
@@ -487,11 +518,12 @@ class Block:
         has = where >= 0
         self.candidate = candidate = np.where(has, ids[where], 0).astype(np.int64)
         has &= candidate != 0
+        self.where = np.where(has, where, -1)
         right = has & (candidate == ids)
         said = self.said = np.where(has, symbol[where], NO_SYMBOL)
         wrong = np.maximum.accumulate(np.where(right, -1, np.arange(n)))  # the last token that was no right candidate
         run = np.maximum(np.arange(n) - 1 - np.maximum(_back(wrong, position, 1, 0), self.starts[doc]), 0)
-        run = np.where(position >= 1, np.minimum(run, 7), 0)
+        run = self.run = np.where(position >= 1, np.minimum(run, 7), 0)
         # words that training lacks
         lacked = symbol == LACKED
         before = np.cumsum(lacked) - lacked
@@ -501,7 +533,7 @@ class Block:
         # what the candidate has of its symbol's share
         self.share = np.where(lacked, seen, np.where(end, 1, c))
         self.whole = np.where(lacked, self.own, np.where(end, 1, mass[symbol]))
-        same = self.same = (said == symbol) & ~self.new & has
+        same = (said == symbol) & ~self.new & has & (not numbered)
         held = np.zeros(n, np.int64)
         held[same] = c[where[same]]
         asks = np.flatnonzero(same & lacked)
@@ -550,10 +582,18 @@ class Block:
         zero, one = np.flatnonzero(some & (self.bit == 0)), np.flatnonzero(some & (self.bit == 1))
         return np.bincount(self.slots[zero].ravel(), minlength=SLOTS), np.bincount(self.slots[one].ravel(), minlength=SLOTS)
 
-    def mixed(self, stretched: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each bit. stretched: the tables' predictions."""
-        out, x = np.zeros(len(self.bit), np.float32), stretched[self.slots]
-        of_token = np.cumsum(self.lengths)
+    def mixed(self, stretched: np.ndarray, below: Bits = (), weights: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of each token's bits. stretched: the tables' predictions; below: bits that follow those of the symbols."""
+        parts = [(self.lengths, self.bit, self.gate, stretched[self.slots]), *below]
+        lengths = sum(p[0] for p in parts)
+        at, n = np.cumsum(lengths) - lengths, int(lengths.sum())
+        bits, gates, x = np.empty(n, np.int8), np.empty(n, np.int64), np.empty((n, CONTEXTS), np.float32)
+        for own, bit, gate, inputs in parts:
+            place = np.repeat(at - (np.cumsum(own) - own), own) + np.arange(len(bit))
+            bits[place], gates[place], x[place] = bit, gate, inputs
+            at = at + own
+        out = np.zeros(n, np.float32)
+        of_token = np.cumsum(lengths)
         ends = of_token[np.cumsum(self.sizes) - 1]
         sizes = np.diff(np.concatenate(([0], ends)))
         starts = ends - sizes
@@ -561,39 +601,144 @@ class Block:
         low = 0
         while low < len(by_size):  # texts of like size, some at a time
             high = low + max(1, int(MIXED_BITS // max(SEGMENT, min(sizes[by_size[low]], 64 * SEGMENT))))
-            self._mix(by_size[low:high], starts, sizes, x, out)
+            mix(by_size[low:high], starts, sizes, bits, gates, x, out, first_weights() if weights is None else weights)
             low = high
-        return np.log(np.where(self.bit == 1, out, 1 - out))
-
-    def _mix(self, texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, inputs: np.ndarray, out: np.ndarray) -> None:
-        """Put the probability that each bit of the texts is 1 into out."""
-        m, live = len(texts), len(texts)
-        weights = np.tile(np.array(WEIGHTS, np.float32), (m * GATES, 1))
-        refined = np.tile(_squash((np.arange(BINS) + 0.5 - BINS / 2) * 0.5).astype(np.float32), m)
-        own_sizes, own_starts = sizes[texts], starts[texts]
-        for at in range(0, int(own_sizes[0]) if m else 0, SEGMENT):
-            while own_sizes[live - 1] <= at:
-                live -= 1
-            counts = np.minimum(own_sizes[:live] - at, SEGMENT)
-            d = np.repeat(np.arange(live), counts)
-            index = np.repeat(own_starts[:live] + at - (np.cumsum(counts) - counts), counts) + np.arange(len(d))
-            x, y = inputs[index], self.bit[index]
-            g = d * GATES + self.gate[index]
-            sums = np.einsum("ik,ik->i", x, weights[g])
-            guess = 1 / (1 + np.exp(-np.clip(sums, -20, 20)))
-            cell = d * BINS + np.clip(sums * 2 + BINS / 2, 0, BINS - 1).astype(np.int64)
-            now = refined[cell]
-            out[index] = np.clip((3 * guess + now) / 4, 1e-5, 1 - 1e-5)
-            error = RATE * (y - guess)
-            for k in range(CONTEXTS):
-                weights[:, k] += np.bincount(g, error * x[:, k], m * GATES)
-            tried = np.bincount(cell, minlength=m * BINS)
-            refined += (np.bincount(cell, y - now, m * BINS) / (tried + 50)).astype(np.float32)
-
-
-def token_scores(block: Block, stretched: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token of a block. spelled: that of each token number's spelling."""
-    bits = np.bincount(block.token, block.mixed(stretched), len(block.ids)) / LOG10
+        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), np.log(np.where(bits == 1, out, 1 - out)), len(lengths))
+
+
+#: Bits of the tokens of a block: how many each has; the bits; their gates; what CONTEXTS predictors say of them, stretched.
+Bits = Sequence[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def first_weights(speller: Speller | None = None) -> np.ndarray:
+    """The weights that a text begins with: of the gates of symbols, of numbers, of spellings."""
+    spelled = np.zeros((GATES, CONTEXTS))
+    spelled[:, :ORDERS] = speller.weights if speller else 0
+    return np.concatenate((np.tile(WEIGHTS, (GATES, 1)), np.tile(NUMBER_WEIGHTS, (GATES, 1)), spelled)).astype(np.float32)
+
+
+def mix(texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: np.ndarray, gates: np.ndarray, inputs: np.ndarray, out: np.ndarray, first: np.ndarray) -> None:
+    """Put the probability that each bit of the texts is 1 into out. Symbols, numbers and spellings have gates and a map each."""
+    m, live, n = len(texts), len(texts), len(first)
+    weights = np.tile(first, (m, 1))
+    maps = n // GATES
+    refined = np.tile(_squash((np.arange(BINS) + 0.5 - BINS / 2) * 0.5).astype(np.float32), m * maps)
+    own_sizes, own_starts = sizes[texts], starts[texts]
+    for at in range(0, int(own_sizes[0]) if m else 0, SEGMENT):
+        while own_sizes[live - 1] <= at:
+            live -= 1
+        counts = np.minimum(own_sizes[:live] - at, SEGMENT)
+        d = np.repeat(np.arange(live), counts)
+        index = np.repeat(own_starts[:live] + at - (np.cumsum(counts) - counts), counts) + np.arange(len(d))
+        x, y, gate = inputs[index], bits[index].astype(np.float32), gates[index]
+        g = d * n + gate
+        sums = np.einsum("ik,ik->i", x, weights[g])
+        guess = 1 / (1 + np.exp(-np.clip(sums, -20, 20)))
+        cell = (d * maps + gate // GATES) * BINS + np.clip(sums * 2 + BINS / 2, 0, BINS - 1).astype(np.int64)
+        now = refined[cell]
+        out[index] = np.clip((3 * guess + now) / 4, 1e-5, 1 - 1e-5)
+        error = RATE * (y - guess)
+        for k in range(CONTEXTS):
+            weights[:, k] += np.bincount(g, error * x[:, k], m * n)
+        tried = np.bincount(cell, minlength=m * maps * BINS)
+        refined += (np.bincount(cell, y - now, m * maps * BINS) / (tried + 50)).astype(np.float32)
+
+
+class Numbers:
+    """Bits of the numbers of a block's words. number: of each token number, among the words of its symbol; whole: how many words each symbol has."""
+
+    def __init__(self, block: Block, kind: int, number: np.ndarray, whole: np.ndarray) -> None:
+        ids, doc, symbol, position, n = block.ids, block.doc, block.listed, block.position, len(block.ids)
+        value, size = np.where(symbol >= ELSEWHERE, number[ids], 0), np.where(symbol >= ELSEWHERE, whole[symbol], 1)
+        lacked = np.flatnonzero(symbol == LACKED)
+        if len(lacked):  # numbered as the text brought them
+            _, first, at = np.unique(doc[lacked].astype(np.int64) << 32 | ids[lacked], return_index=True, return_inverse=True)
+            new = np.zeros(n, np.int64)
+            new[lacked[first]] = 1
+            before = np.cumsum(new) - new
+            before -= before[block.starts][doc]
+            value[lacked] = before[lacked[first[at]]]
+            size[lacked] = np.where(new[lacked] == 1, 1, before[lacked])
+        seed = mixed((np.arange(SYMBOLS) + kind * SYMBOLS).astype(np.uint64))
+        word = mixed(seed[symbol] + np.where(symbol == LACKED, 0, value).astype(np.uint64))
+        one, two = _back(word, position, 1), _back(word, position, 2)
+        after = (mixed(_back(symbol, position, 1, SYMBOLS).astype(np.uint64)), one, mixed(one + two * np.uint64(3)))
+        other = np.where((block.where >= 0) & (symbol[block.where] == symbol), value[block.where], -1)
+        # one row a bit, the highest first; bits that the size settles are none
+        value, size, other = (x.astype(np.int32) for x in (value, size, other))  # of one kind, fewer than 2^31 words have a symbol
+        length = np.where(size > 1, np.frexp((size - 1).astype(np.float64))[1], 0).astype(np.int32)
+        token = np.repeat(np.arange(n, dtype=np.int32), length)
+        left = np.repeat(np.cumsum(length, dtype=np.int32), length) - np.arange(1, len(token) + 1, dtype=np.int32)  # bits after this one
+        v, half = value[token], np.int32(1) << left
+        over = v >> left
+        ones = size[token] - (over | 1) * half
+        free = np.flatnonzero(ones > 0)
+        token, left, over, half, ones = token[free], left[free], over[free], half[free], np.minimum(ones[free], half[free])
+        self.bit = (over & 1).astype(np.int8)
+        self.share = (ones / (half + ones)).astype(np.float32)
+        self.lengths = np.bincount(token, minlength=n)
+        guess = other[token]
+        says = np.where((guess >= 0) & (guess >> (left + 1) == over >> 1), (guess >> left) & 1, 2)
+        run = block.run.astype(np.int32)[token]
+        self.gate = GATES + np.where(says == 2, 0, 1 + np.minimum(run, 6))
+        self.token, self.says = token, np.where(says == 2, -1, says * 8 + run).astype(np.int32)
+        place = (seed[symbol][token] ^ ((over >> 1) << 6 | left).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        place ^= place >> np.uint64(29)
+        hashes = (place, *(place + x[token] for x in after))
+        self.slots = [((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - NUMBER_BITS)).view(np.int64) + (k << NUMBER_BITS) for k, h in enumerate(hashes)]
+
+    def learn(self, table: np.ndarray, use: np.ndarray) -> None:
+        """Count the outcomes of the tokens in ``use`` into table, zeros and ones by slot; what candidates say comes last."""
+        some = np.flatnonzero(use[self.token])
+        flat, bit, once = table.reshape(-1), self.bit[some], table.dtype.type(1)
+        for slots in self.slots:
+            np.add.at(flat, slots[some] * 2 + bit, once)
+        some = some[self.says[some] >= 0]
+        np.add.at(flat, (self.says[some].astype(np.int64) + (NUMBER_TABLES << NUMBER_BITS)) * 2 + self.bit[some], once)
+
+    def bits(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As Bits has them. Each context leans on the one before it, the first on the share of the numbers. table: float32."""
+        x, p, pairs = np.empty((CONTEXTS, len(self.bit)), np.float32), self.share, table.reshape(-1).view(np.int64)
+        for k, slots in enumerate(self.slots):
+            found = pairs[slots].view(np.float32)
+            zero, one = found[::2], found[1::2]
+            np.divide(one + np.float32(LEAN) * p, zero + one + np.float32(LEAN), out=x[k])
+            p = x[k]
+        x[NUMBER_TABLES] = x[0]
+        said = np.flatnonzero(self.says >= 0)
+        found = table[self.says[said] + (NUMBER_TABLES << NUMBER_BITS)]
+        x[NUMBER_TABLES, said] = (found[:, 1] + 0.4) / (found.sum(axis=1) + 0.8)
+        np.clip(x, 1e-4, 1 - 1e-4, out=x)
+        return self.lengths, self.bit, self.gate, np.log(x / (1 - x)).T
+
+
+NUMBER_SLOTS = (NUMBER_TABLES << NUMBER_BITS) + 16
+
+
+def spelled_bits(block: Block, words: dict[int, bytes], speller: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As Bits has them, of the new words' spellings. words: by token number."""
+    lengths, at = np.zeros(len(block.ids), np.int64), np.flatnonzero(block.new)
+    if not len(at):
+        return lengths, np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros((0, CONTEXTS), np.float32)
+    numbers, which = np.unique(block.ids[at], return_inverse=True)
+    slots, bits, word = spelling([words[k] for k in numbers.tolist()])
+    x, gate = speller.inputs(slots)
+    sizes = np.bincount(word, minlength=len(numbers))
+    own = lengths[at] = sizes[which]
+    row = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    inputs = np.zeros((len(row), CONTEXTS), np.float32)
+    inputs[:, :ORDERS] = x.T[row]
+    return lengths, bits[row], 2 * GATES + gate[row], inputs
+
+
+def token_scores(block: Block, stretched: np.ndarray, spelled: np.ndarray | None = None, below: Bits = (), weights: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of each token of a block: that of its bits. below: those of numbers and spellings.
+
+    A block without numbers has shares by counts instead, and ``spelled``, of each token number, for new words.
+    """
+    bits = block.mixed(stretched, below, weights) / LOG10
+    if block.numbered:
+        return bits
     rest = np.where((block.said == block.symbol), block.rest, block.whole)
     settled = block.new | (block.symbol == END) | (block.right & (block.said == block.symbol))
     share = np.where(settled, 1.0, block.share / np.maximum(1, rest))
@@ -603,19 +748,31 @@ def token_scores(block: Block, stretched: np.ndarray, spelled: np.ndarray) -> np
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
 
 
-def _unpacked(row: dict, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(sizes, ids, counts, lacked words, their numbers) of a row of the joined blocks; counts in the kind's training texts and in all."""
-    sizes, ids = np.asarray(row["sizes"].values), unpack(row["ids"].as_py())
-    counts = np.zeros((2, int(ids.max()) + 1), np.int64)
-    counts[:, 0] = ends
-    words, numbers = [], [np.zeros(0, np.int64)]
-    for held in row["held"].as_py() or []:
-        at = unpack(held["at"])
-        counts[:, at] = unpack(held["near"]), unpack(held["c"])
-        own = unpack_words(held["words"])
-        words += own
-        numbers.append(at[len(at) - len(own) :])
-    return sizes, ids, counts, words, np.concatenate(numbers)
+class Vocabulary:
+    """What tasks know of all words: the tree, what the words of symbols share, how many there are in each part, of each kind; parts: (part, kind by symbol)."""
+
+    def __init__(self, tree: Tree, kinds: list[int], ends: int, parts: dict[int, np.ndarray]) -> None:
+        self.tree, self.kinds, self.ends = tree, kinds, ends
+        none = np.zeros((len(kinds), SYMBOLS), np.int64)
+        self.before, so_far = {}, none
+        for part in sorted(parts):
+            self.before[part] = so_far
+            so_far = so_far + parts[part]
+        self.whole = so_far
+
+    def unpacked(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
+        """(sizes, ids, counts, numbers, lacked words by token number) of a row of the joined blocks; counts in the kind's training texts and in all."""
+        sizes, ids, k = np.asarray(row["sizes"].values), unpack(row["ids"].as_py()), self.kinds.index(row["text_kind"].as_py())
+        counts, number = np.zeros((2, int(ids.max()) + 1), np.int64), np.zeros(int(ids.max()) + 1, np.int64)
+        counts[:, 0] = self.ends
+        words: dict[int, bytes] = {}
+        for held in row["held"].as_py() or []:
+            at = unpack(held["at"])
+            counts[:, at] = unpack(held["near"]), unpack(held["c"])
+            number[at] = unpack(held["rank"]) + self.before[held["part"]][k, known_class(counts[0, at])]
+            own = unpack_words(held["words"])
+            words.update(zip(at[len(at) - len(own) :].tolist(), own, strict=True))
+        return sizes, ids, counts, number, words
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -624,26 +781,40 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[k] for name in batch.schema.names}
 
 
-def _outcomes(tree: Tree, ends: int):
+#: Slots of a piece of the tables.
+PIECE = 1 << 16
+PIECES = "piece int, outcomes binary"
+
+
+def _outcomes(all_words: Vocabulary):
+    """Zeros and ones by slot, those of symbols before those of numbers, in pieces."""
+
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero, one = np.zeros((2, SLOTS), np.int64)
+        table = np.zeros((SLOTS + NUMBER_SLOTS, 2), np.int32)
         for row in _rows(batches):
-            sizes, ids, counts, _, _ = _unpacked(row, ends)
+            sizes, ids, counts, number, _ = all_words.unpacked(row)
+            kind = row["text_kind"].as_py()
             use = np.array([not held_out(k) for k in row["doc_ids"].as_py()])
             for a, b in _texts_at_a_time(sizes):
-                tokens = slice(int(sizes[:a].sum()), int(sizes[:b].sum()))
-                z, o = Block(ids[tokens], sizes[a:b], counts, tree, tree.mass[row["text_kind"].as_py()], use[a:b]).outcomes(use[a:b])
-                zero += z
-                one += o
-        some = np.flatnonzero(zero + one)
-        for at in range(0, len(some), 10_000):
-            s = some[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(zero[s], pa.int64()), pa.array(one[s], pa.int64())], ["slot", "zero", "one"])
+                if use[a:b].any():
+                    tokens = slice(int(sizes[:a].sum()), int(sizes[:b].sum()))
+                    block = Block(ids[tokens], sizes[a:b], counts, all_words.tree, all_words.tree.mass[kind], use[a:b], True)
+                    for k, found in enumerate(block.outcomes(use[a:b])):
+                        table[:SLOTS, k] += found
+                    Numbers(block, kind, number, all_words.whole[all_words.kinds.index(kind)]).learn(table[SLOTS:], use[a:b][block.doc])
+        for k in range(0, len(table), PIECE):
+            if table[k : k + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([pack(table[k : k + PIECE].ravel())], pa.binary())], ["piece", "outcomes"])
 
     return learned
 
 
-def _texts_at_a_time(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+def _summed(piece: pa.Table) -> pa.Table:
+    total = sum(unpack(x.as_py()) for x in piece.column("outcomes"))
+    return pa.table([pa.array([piece.column("piece")[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], ["piece", "outcomes"])
+
+
+def _texts_at_a_time(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` tokens, one text at least."""
     a = 0
     ends = np.cumsum(sizes)
@@ -653,30 +824,27 @@ def _texts_at_a_time(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[i
         a = b
 
 
-def score_block(sizes: np.ndarray, ids: np.ndarray, words: list[bytes], numbers: np.ndarray, counts: np.ndarray, tree: Tree, mass: np.ndarray, stretched: np.ndarray, speller: Speller, total: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """(n_tokens, n_known, base, score) of every text of a block; the score of its kind comes on top. counts: as Block has them; words: those that training lacks, with their numbers."""
+def score_block(kind: int, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, number: np.ndarray, words: dict[int, bytes], all_words: Vocabulary, stretched: np.ndarray, table: np.ndarray, speller: Speller, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """(n_tokens, n_known, base, score) of every text of a block; the score of its kind comes on top. counts: as Block has them; words: those that training lacks, by token number."""
     docs = len(sizes)
     doc = np.repeat(np.arange(docs), sizes)
-    every = counts[1]
+    every, weights = counts[1], first_weights(speller)
     base = np.bincount(doc, np.log10((every + 1) / (total + distinct + 1))[ids], docs)
     known = np.bincount(doc, (every > 0)[ids], docs).astype(np.int64)
-    spelled = np.zeros(len(every))
-    if words:
-        spelled[numbers] = speller.log10(words)
     score = np.zeros(docs)
     for a, b in _texts_at_a_time(sizes):
         first, last = int(sizes[:a].sum()), int(sizes[:b].sum())
-        score[a:b] = np.bincount(doc[first:last] - a, token_scores(Block(ids[first:last], sizes[a:b], counts, tree, mass), stretched, spelled), b - a)
+        block = Block(ids[first:last], sizes[a:b], counts, all_words.tree, all_words.tree.mass[kind], numbered=True)
+        below = Numbers(block, kind, number, all_words.whole[all_words.kinds.index(kind)]).bits(table), spelled_bits(block, words, speller)
+        score[a:b] = np.bincount(doc[first:last] - a, token_scores(block, stretched, below=below, weights=weights), b - a)
     return sizes, known, base, score
 
 
-def _scored(tree: Tree, stretched: np.ndarray, speller: Speller, total: int, distinct: int, ends: int, kind_score: dict[int, float]):
+def _scored(all_words: Vocabulary, stretched: np.ndarray, table: np.ndarray, speller: Speller, total: int, distinct: int, kind_score: dict[int, float]):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            sizes, ids, counts, words, numbers = _unpacked(row, ends)
-            keys = row["doc_ids"].as_py()
-            kind = row["text_kind"].as_py()
-            n, known, base, score = score_block(sizes, ids, words, numbers, counts, tree, tree.mass[kind], stretched, speller, total, distinct)
+            keys, kind = row["doc_ids"].as_py(), row["text_kind"].as_py()
+            n, known, base, score = score_block(kind, *all_words.unpacked(row), all_words, stretched, table, speller, total, distinct)
             score = score + kind_score[kind]
             bits = -score / math.log10(2) / np.maximum(1, np.asarray(row["n_bytes"].values))
             columns = [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), pa.array(n, pa.int64()), pa.array(known, pa.int64())]
@@ -715,7 +883,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         found[r["at"]] = r["n"]
     mass = dict(zip(kinds, found[:-3].reshape(len(kinds), SYMBOLS), strict=True))
     total, distinct, singles = int(found[-3]) + ends, int(found[-2]) + (ends > 0), int(found[-1])
-    tree = Tree(mass, singles, ends)
+    parts = {r["part"]: np.array(r["n"]).reshape(len(kinds), SYMBOLS) for r in counted.where("n is not null").select("part", "n").collect()}
+    all_words = Vocabulary(Tree(mass, singles, ends), kinds, ends, parts)
 
     def tables(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Summed outcomes by slot: as many rows as there are slots, at most."""
@@ -733,10 +902,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     weights = np.array(list(sums)[1:]).reshape(GATES, ORDERS) / sums["n"] if sums["n"] else None
     speller = Speller(zero, one, weights)
 
-    held = counted.where("block is not null").groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("at", "near", "c", "words")).alias("held"))
+    held = counted.where("block is not null").groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("at", "near", "c", "words", "rank", "part")).alias("held"))
     met = stored(blocks.drop("words", "train", "n_words").join(held, F.col("block") == F.col("b"), "left").drop("b"), "met")
-    zero, one = tables(met.mapInArrow(_outcomes(tree, ends), "slot int, zero bigint, one bigint"), SLOTS)
-    scored = met.mapInArrow(_scored(tree, stretch_tables(zero, one), speller, total, distinct, ends, kind_score), SCORED)
+    table = np.zeros((SLOTS + NUMBER_SLOTS, 2), np.int64)
+    for r in met.mapInArrow(_outcomes(all_words), PIECES).groupBy("piece").applyInArrow(_summed, PIECES).collect():  # as many as there are pieces
+        piece = unpack(r["outcomes"]).reshape(-1, 2)
+        table[r["piece"] * PIECE : r["piece"] * PIECE + len(piece)] = piece
+    stretched, table = stretch_tables(*table[:SLOTS].T), table[SLOTS:].astype(np.float32)
+    scored = met.mapInArrow(_scored(all_words, stretched, table, speller, total, distinct, kind_score), SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
 
 

@@ -312,6 +312,104 @@ def test_held_out_texts_score_above_the_base(spark):
     assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
+class Numbered(Model):
+    """The same with words numbered within their symbols, and tables of their bits."""
+
+    def __init__(self, seed, taught=()):
+        super().__init__(seed)
+        self.symbol = {w: int(lm_score.known_class(np.array([c]))[0]) for w, c in self.near.items()}
+        self.whole = np.bincount(list(self.symbol.values()), minlength=lm_score.SYMBOLS)
+        self.number = {w: list(self.symbol.values())[:i].count(s) for i, (w, s) in enumerate(self.symbol.items())}
+        self.table = np.zeros((lm_score.NUMBER_SLOTS, 2), np.int32)
+        for text in taught:
+            block, numbers, _ = self.parts([text])
+            numbers.learn(self.table, np.ones(len(block.ids), bool))
+        n = np.random.default_rng(seed)
+        slots = lm_score.ORDERS << lm_score.SPELL_BITS
+        self.speller = lm_score.Speller(n.integers(0, 9, slots), n.integers(0, 9, slots))
+
+    def parts(self, texts):
+        tokens = [b"", *dict.fromkeys(w for t in texts for w in t)]
+        ids = np.array([i for t in texts for i in [*map(tokens.index, t), 0]], dtype=np.int64)
+        counts = np.array([[c.get(t, 0) for t in tokens] for c in (self.near, self.every)])
+        block = lm_score.Block(ids, np.array([len(t) + 1 for t in texts]), counts, self.tree, self.mass, numbered=True)
+        number = np.array([self.number.get(t, 0) for t in tokens])
+        return block, lm_score.Numbers(block, 8, number, self.whole), dict(enumerate(tokens))
+
+    def scores(self, texts, spelled=True):
+        block, numbers, words = self.parts(texts)
+        below = [numbers.bits(self.table.astype(np.float32))] + [lm_score.spelled_bits(block, words, self.speller)] * spelled
+        found = lm_score.token_scores(block, self.stretched, below=below, weights=lm_score.first_weights(self.speller))
+        return np.split(found, np.cumsum(block.sizes)[:-1])
+
+
+def test_numbered_words_are_a_distribution():
+    """After any text, the probabilities of the end, of every word and of a new word sum to one, whatever the tables hold."""
+    rng = random.Random(8)
+    plain = Model(3)
+    phrase = [rng.choice([*plain.near, b"own1", b"own2", b"own3"]) for _ in range(12)]
+    for model in (Numbered(3), Numbered(3, [phrase * 9, [*plain.near] * 3])):
+        for before in ([], [b"w3"], [b"own1"], [rng.choice([*model.near, b"own1", b"own2"]) for _ in range(80)], phrase * 6 + phrase[:4]):
+            own = {w for w in before if w not in model.near}
+            follow = sum(10 ** model.scores([[*before, w]], spelled=False)[0][len(before)] for w in [*model.near, *own, b"new"])
+            assert abs(follow + 10 ** model.scores([before], spelled=False)[0][-1] - 1) < 1e-4
+
+
+def test_numbers_by_brute_force():
+    model, rng = Numbered(5), random.Random(5)
+    texts = [[rng.choice([*model.near, b"own1", b"own2", b"own3", b"own4"]) for _ in range(n)] for n in (0, 1, 60, 200)]
+    _, numbers, _ = model.parts(texts)
+    bits, shares, lengths = [], [], []
+    for text in texts:
+        own = []
+        for w in [*text, b""]:
+            if w in model.near:
+                value, size = model.number[w], int(model.whole[model.symbol[w]])
+            else:
+                value, size = (own.index(w), len(own)) if w in own else (0, 1)
+                own += [w] * (w != b"" and w not in own)
+            found = []
+            for left in reversed(range((size - 1).bit_length())):
+                under = [x for x in range(size) if x >> (left + 1) == value >> (left + 1)]
+                ones = sum(x >> left & 1 for x in under)
+                if ones:
+                    found.append((value >> left & 1, ones / len(under)))
+            lengths.append(len(found))
+            bits += [b for b, _ in found]
+            shares += [p for _, p in found]
+    assert numbers.bit.tolist() == bits and numbers.lengths.tolist() == lengths and np.allclose(numbers.share, shares)
+
+
+def test_words_of_a_symbol_are_told_apart_by_context():
+    """Equal counts: only what came before can tell which word of a symbol comes next."""
+    words = [w for w, c in Model(4).near.items() if c == 1]
+    pairs = dict(zip(words[::2], words[1::2], strict=False))
+    text = lambda follows: [w for a, b in pairs.items() for w in (a, follows[b])]
+    as_taught, turned = {b: b for b in pairs.values()}, dict(zip(pairs.values(), [*pairs.values()][::-1], strict=True))
+    model = Numbered(4, [text(as_taught)] * 20)
+    a, b = (model.scores([text(x)])[0].sum() for x in (as_taught, turned))
+    assert len(pairs) > 3 and a > 0.7 * b
+
+
+def test_weights_of_spelling_follow_the_text():
+    """A new word's spelling costs what the text's own weights say, not what they were before it."""
+    model = Numbered(6)
+    alone, late = model.scores([[b"unheardof"], [b"new%03d" % k for k in range(300)] + [b"unheardof"]])
+    block, _, words = model.parts([[b"unheardof"]])
+    fixed = lm_score.spelled_bits(block, words, model.speller)
+    assert int(fixed[0][0]) == 80 and abs(alone[0] - late[300]) > 1e-3
+
+
+def test_numbers_do_not_depend_on_the_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(k, " ".join("w%d" % rng.randrange(900) for _ in range(60))) for k in range(120)]
+    found = []
+    for size in (200, 1 << 20):
+        monkeypatch.setattr(lm_score, "PART_BYTES", size)
+        found.append(sorted((r.doc_id, round(r.score, 6)) for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()))
+    assert found[0] == found[1]
+
+
 # ---- 3
 
 
