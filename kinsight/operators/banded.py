@@ -157,10 +157,14 @@ class Facts:
         column = rows.table.column
         thumbs = column("thumb16").combine_chunks()
         self.size = np.asarray(thumbs.value_lengths().fill_null(-1)).astype(np.int64)
-        values = np.asarray(thumbs.flatten().cast(pa.float64()))
+        flat = thumbs.flatten()
+        values = np.asarray(flat if pa.types.is_int16(flat.type) else flat.cast(pa.float64()))
         n = np.maximum(self.size, 0)
-        self.thumbs = np.zeros((int(n.max(initial=0)), len(n)))  # a row a cell
-        self.thumbs[np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(n)), n)] = values
+        starts = np.cumsum(n) - n
+        self.thumbs = np.zeros((int(n.max(initial=0)), len(n)), values.dtype)  # a row a cell; small integers stay so until a pair is judged
+        for k, cell in enumerate(self.thumbs):
+            some = np.flatnonzero(n > k)
+            cell[some] = values[starts[some] + k]
         self.mean, self.spread = (np.asarray(column(c).cast(pa.float64()).fill_null(np.nan)) for c in ("thumb_mean", "contrast"))
         self.time = [(np.asarray(column(c).is_null()), rows.numbers(c)) for c in ("date_taken", "sub_sec")]
         # texts as numbers, equal ones alike; the empty one is 0
@@ -228,5 +232,6 @@ def near(rows: DataFrame, max_hamming: int, max_bucket: int | None = None) -> Da
                 columns = [pa.array(part.key[a]), pa.array(part.key[b]), pa.array(np.minimum(*part.distances(a, b)).astype(np.int32))]
                 columns += [pa.array(thumbnail, pa.float64(), mask=np.isnan(thumbnail)), pa.array(facts.separate(a, b))]
                 yield pa.RecordBatch.from_arrays(columns, ["i", "j", "hamming", "thumbnail", "separate"])
+            del part, facts  # before the next ones are made
 
     return dealt(rows.select("file_key", "dhash", "phash", *FACTS), max_hamming, max_bucket).mapInArrow(found, NEAR)
