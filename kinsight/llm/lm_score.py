@@ -61,8 +61,8 @@ from .hashing import mixed
 MODULUS, HELD_OUT = 7, 2
 #: Bytes of text in a block, about; a block holds whole texts.
 BLOCK_BYTES = 4 << 20
-#: Bits between two updates of a text's weights; bits that are mixed at a time, about.
-SEGMENT, MIXED_BITS = 128, 1 << 17
+#: Bits between two updates of a text's weights; texts that are mixed at a time.
+SEGMENT, MIXED_ROWS = 128, 64
 #: Slots of the spelling tables, one table an order.
 SPELL_BITS, ORDERS = 18, 4
 SPELL_RATE = 0.02
@@ -177,14 +177,16 @@ ENCODED = "block bigint, text_kind bigint, n_words bigint, doc_ids array<bigint>
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers, their bytes of like weight together, compressed."""
-    x = x.astype("<i8")
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Integers, in as few bytes as the largest needs (the first byte says how many), their bytes of like weight together, compressed."""
+    most = max(int(x.max()), -1 - int(x.min())) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    flat = np.ascontiguousarray(x.astype(f"<i{width}")).view(np.uint8).reshape(-1, width)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.T).data)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(_plain(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).reshape(-1).view("<i8").astype(np.int64)
+    width, flat = raw[0], np.frombuffer(_plain(raw[1:]), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).reshape(-1).view(f"<i{width}").astype(np.int64)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -555,58 +557,63 @@ class Block:
         lengths = tree.length[symbol]
         ask_had = lacked & (self.own > 0)
         lengths_all = lengths + ask_had + same
-        token = np.repeat(np.arange(n), lengths_all)
-        at = np.arange(len(token)) - np.repeat(np.cumsum(lengths_all) - lengths_all, lengths_all)
-        path = symbol[token] * SYMBOLS + at  # beyond the path's end there is no node
-        node, bit = tree.node.ravel()[path], tree.bit.ravel()[path]
-        says = tree.says.ravel()[said[token] * SYMBOLS + node]
-        extra = np.flatnonzero(at >= lengths[token])  # the bits that are no nodes of the tree
+        each = lambda x: np.repeat(x, lengths_all)
+        token = each(np.arange(n))
+        at = np.arange(len(token)) - each(np.cumsum(lengths_all) - lengths_all)
+        path = each(symbol * SYMBOLS) + at  # beyond the path's end there is no node
+        node, bit = tree.node.ravel().take(path), tree.bit.ravel().take(path)
+        says = tree.says.ravel().take(each(said * SYMBOLS) + node)
+        extra = np.flatnonzero(at >= each(lengths))  # the bits that are no nodes of the tree
         t = token[extra]
         is_had = ask_had[t] & (at[extra] == lengths[t])
         node[extra] = np.where(is_had, HAD, CANDIDATE)
         bit[extra] = np.where(is_had, had[t], right[t])
         says[extra] = np.where(is_had & (said[t] != LACKED), 2, 1)
-        run_of = run[token]
-        self.gate = np.where(says == 2, 0, 1 + np.minimum(run_of, 6))
-        parts = (last, last * SYMBOLS + last2, far, np.zeros_like(run), level)
-        by_token = np.stack([(_OFFSETS[k] + x * SYMBOLS).astype(np.int32) for k, x in enumerate(parts)], axis=1)
-        slots = by_token[token] + node[:, None].astype(np.int32)
-        slots[:, 3] += ((says * 8 + run_of) * SYMBOLS).astype(np.int32)
+        self.gate = each(1 + np.minimum(run, 6)) * (says != 2)
+        slots = np.empty((CONTEXTS, len(token)), np.int64)
+        for k, x in enumerate((last, last * SYMBOLS + last2, far, run, level)):
+            np.add(each(_OFFSETS[k] + x * SYMBOLS), node, out=slots[k])
+        slots[3] += says * (8 * SYMBOLS)
         asked = extra[~is_had]
-        slots[asked, 4] = _OFFSETS[4] + symbol[token[asked]] * SYMBOLS + CANDIDATE
-        self.bit, self.slots, self.token, self.lengths = bit, slots, token, lengths_all
+        slots[4, asked] = _OFFSETS[4] + symbol[token[asked]] * SYMBOLS + CANDIDATE
+        self.bit, self.slots, self.token, self.lengths = bit.astype(np.int8), slots, token, lengths_all
 
     def outcomes(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of either value by slot, of the texts marked in ``use``."""
-        some = use[self.doc[self.token]]
-        zero, one = np.flatnonzero(some & (self.bit == 0)), np.flatnonzero(some & (self.bit == 1))
-        return np.bincount(self.slots[zero].ravel(), minlength=SLOTS), np.bincount(self.slots[one].ravel(), minlength=SLOTS)
+        some = slice(None) if use.all() else np.flatnonzero(use[self.doc[self.token]])
+        found = sum(np.bincount(slots[some] * 2 + self.bit[some], minlength=2 * SLOTS) for slots in self.slots)
+        return found[::2], found[1::2]
 
     def mixed(self, stretched: np.ndarray, below: Bits = (), weights: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each token's bits. stretched: the tables' predictions; below: bits that follow those of the symbols."""
-        parts = [(self.lengths, self.bit, self.gate, stretched[self.slots]), *below]
+        parts = [(self.lengths, self.bit, self.gate, stretched.take(self.slots)), *below]
         lengths = sum(p[0] for p in parts)
-        at, n = np.cumsum(lengths) - lengths, int(lengths.sum())
-        bits, gates, x = np.empty(n, np.int8), np.empty(n, np.int64), np.empty((n, CONTEXTS), np.float32)
+        sizes = np.add.reduceat(lengths, self.starts)
+        rows = -(-sizes // SEGMENT)  # a text's bits fill rows of their own
+        first_row, n = np.cumsum(rows) - rows, int(rows.sum()) * SEGMENT
+        at = np.cumsum(lengths) - lengths
+        begins = at = at + (first_row * SEGMENT - at[self.starts])[self.doc]
+        bits, gates, x = np.full(n, -1, np.int8), np.zeros(n, np.int8), np.zeros((CONTEXTS, n), np.float32)
         for own, bit, gate, inputs in parts:
             place = np.repeat(at - (np.cumsum(own) - own), own) + np.arange(len(bit))
-            bits[place], gates[place], x[place] = bit, gate, inputs
+            bits[place], gates[place] = bit, gate
+            for k in range(CONTEXTS):
+                x[k, place] = inputs[k]
             at = at + own
-        out = np.zeros(n, np.float32)
-        of_token = np.cumsum(lengths)
-        ends = of_token[np.cumsum(self.sizes) - 1]
-        sizes = np.diff(np.concatenate(([0], ends)))
-        starts = ends - sizes
-        by_size = np.argsort(-sizes, kind="stable")
-        low = 0
-        while low < len(by_size):  # texts of like size, some at a time
-            high = low + max(1, int(MIXED_BITS // max(SEGMENT, min(sizes[by_size[low]], 64 * SEGMENT))))
-            mix(by_size[low:high], starts, sizes, bits, gates, x, out, first_weights() if weights is None else weights)
-            low = high
-        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), np.log(np.where(bits == 1, out, 1 - out)), len(lengths))
-
-
-#: Bits of the tokens of a block: how many each has; the bits; their gates; what CONTEXTS predictors say of them, stretched.
+        out = np.empty(n, np.float32)
+        by_size = np.argsort(-rows, kind="stable")
+        for low in range(0, len(by_size), MIXED_ROWS):  # texts of like size, some at a time
+            some = by_size[low : low + MIXED_ROWS]
+            mix(first_row[some], rows[some], *(a.reshape(*a.shape[:-1], -1, SEGMENT) for a in (bits, gates, x, out)), first_weights() if weights is None else weights)
+        np.clip(out, 1e-5, 1 - 1e-5, out=out)
+        out = np.where(bits == 1, out, 1 - out)
+        out[bits < 0] = 1  # what fills up a text's last row
+        if not n:
+            return np.zeros(len(lengths))
+        return np.where(lengths > 0, np.add.reduceat(np.log(out, out=out), np.minimum(begins, n - 1), dtype=np.float64), 0.0)
+
+
+#: Bits of the tokens of a block: how many each has; the bits; their gates; what CONTEXTS predictors say of them, stretched, a row each.
 Bits = Sequence[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -617,31 +624,43 @@ def first_weights(speller: Speller | None = None) -> np.ndarray:
     return np.concatenate((np.tile(WEIGHTS, (GATES, 1)), np.tile(NUMBER_WEIGHTS, (GATES, 1)), spelled)).astype(np.float32)
 
 
-def mix(texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: np.ndarray, gates: np.ndarray, inputs: np.ndarray, out: np.ndarray, first: np.ndarray) -> None:
-    """Put the probability that each bit of the texts is 1 into out. Symbols, numbers and spellings have gates and a map each."""
-    m, live, n = len(texts), len(texts), len(first)
-    weights = np.tile(first, (m, 1))
-    maps = n // GATES
-    refined = np.tile(_squash((np.arange(BINS) + 0.5 - BINS / 2) * 0.5).astype(np.float32), m * maps)
-    own_sizes, own_starts = sizes[texts], starts[texts]
-    for at in range(0, int(own_sizes[0]) if m else 0, SEGMENT):
-        while own_sizes[live - 1] <= at:
-            live -= 1
-        counts = np.minimum(own_sizes[:live] - at, SEGMENT)
-        d = np.repeat(np.arange(live), counts)
-        index = np.repeat(own_starts[:live] + at - (np.cumsum(counts) - counts), counts) + np.arange(len(d))
-        x, y, gate = inputs[index], bits[index].astype(np.float32), gates[index]
-        g = d * n + gate
-        sums = np.einsum("ik,ik->i", x, weights[g])
-        guess = 1 / (1 + np.exp(-np.clip(sums, -20, 20)))
-        cell = (d * maps + gate // GATES) * BINS + np.clip(sums * 2 + BINS / 2, 0, BINS - 1).astype(np.int64)
-        now = refined[cell]
-        out[index] = np.clip((3 * guess + now) / 4, 1e-5, 1 - 1e-5)
-        error = RATE * (y - guess)
+def mix(first_row: np.ndarray, rows: np.ndarray, bits: np.ndarray, gates: np.ndarray, inputs: np.ndarray, out: np.ndarray, first: np.ndarray) -> None:
+    """Put the probability that each bit of some texts is 1 into out. Symbols, numbers and spellings have gates and a map each.
+
+    A text's bits are in so many rows of SEGMENT from its first one on, the texts with most rows first. What fills up the last row has no
+    inputs, and nothing is read of the text after it.
+    """
+    m, n = len(rows), len(first)
+    weights = np.tile(first.T, (1, m))
+    refined = np.tile(_squash((np.arange(BINS) + 0.5 - BINS / 2) * 0.5).astype(np.float32), m * n // GATES)
+    own, fewer = np.repeat(np.arange(m) * n, SEGMENT), -rows
+    for at in range(int(rows[0])):
+        live = int(np.searchsorted(fewer, -at))
+        here = first_row[:live] + at
+        x, y, g = inputs[:, here].reshape(CONTEXTS, -1), bits[here].ravel(), own[: live * SEGMENT] + gates[here].ravel()
+        part = weights.take(g, axis=1)
+        part *= x
+        sums = part[0]
+        for k in range(1, CONTEXTS):
+            sums += part[k]
+        np.minimum(np.maximum(sums, -20, out=sums), 20, out=sums)
+        guess = np.negative(sums)
+        np.exp(guess, out=guess)
+        guess += 1
+        np.reciprocal(guess, out=guess)
+        sums *= 2
+        sums += BINS / 2
+        cell = np.minimum(np.maximum(sums, 0, out=sums), BINS - 1, out=sums).astype(np.int64)
+        cell += (g >> 3) * BINS  # GATES a map
+        now = refined.take(cell)
+        out[here] = ((3 * guess + now) / 4).reshape(live, SEGMENT)
+        error = np.float32(RATE) * (y - guess)
+        x *= error
         for k in range(CONTEXTS):
-            weights[:, k] += np.bincount(g, error * x[:, k], m * n)
-        tried = np.bincount(cell, minlength=m * maps * BINS)
-        refined += (np.bincount(cell, y - now, m * maps * BINS) / (tried + 50)).astype(np.float32)
+            weights[k, : live * n] += np.bincount(g, x[k], live * n)
+        cells = live * n // GATES * BINS
+        tried = np.bincount(cell, minlength=cells)
+        refined[:cells] += (np.bincount(cell, y - now, cells) / (tried + 50)).astype(np.float32)
 
 
 class Numbers:
@@ -664,52 +683,85 @@ class Numbers:
         one, two = _back(word, position, 1), _back(word, position, 2)
         after = (mixed(_back(symbol, position, 1, SYMBOLS).astype(np.uint64)), one, mixed(one + two * np.uint64(3)))
         other = np.where((block.where >= 0) & (symbol[block.where] == symbol), value[block.where], -1)
-        # one row a bit, the highest first; bits that the size settles are none
-        value, size, other = (x.astype(np.int32) for x in (value, size, other))  # of one kind, fewer than 2^31 words have a symbol
+        # the bits of each word that training has, once; of one that it lacks, anew for each token, as the numbers follow the text
+        known, lacked = np.flatnonzero(np.bincount(ids[symbol >= ELSEWHERE])), lacked[size[lacked] > 1]
+        of_word = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+        of_word[known] = np.arange(1, len(known) + 1)
+        row = np.where(symbol >= ELSEWHERE, of_word[ids], 0)  # the first row has no bits: of ends and new words
+        row[lacked] = np.arange(len(known) + 1, len(known) + 1 + len(lacked))
+        token = np.zeros(len(known) + 1 + len(lacked), np.int64)
+        token[row] = np.arange(n)  # one of those that a row stands for
+        value, size, kind_of = (x[token].astype(np.int32) for x in (value, size, symbol))  # of one kind, fewer than 2^31 words have a symbol
+        size[0] = 1
+        # one place a bit, the highest first; bits that the size settles are none
         length = np.where(size > 1, np.frexp((size - 1).astype(np.float64))[1], 0).astype(np.int32)
-        token = np.repeat(np.arange(n, dtype=np.int32), length)
-        left = np.repeat(np.cumsum(length, dtype=np.int32), length) - np.arange(1, len(token) + 1, dtype=np.int32)  # bits after this one
-        v, half = value[token], np.int32(1) << left
-        over = v >> left
-        ones = size[token] - (over | 1) * half
+        word_row = np.repeat(np.arange(len(size)), length)
+        left = np.repeat(np.cumsum(length, dtype=np.int32), length) - np.arange(1, len(word_row) + 1, dtype=np.int32)  # bits after this one
+        half = np.int32(1) << left
+        over = value[word_row] >> left
+        ones = size[word_row] - (over | 1) * half
         free = np.flatnonzero(ones > 0)
-        token, left, over, half, ones = token[free], left[free], over[free], half[free], np.minimum(ones[free], half[free])
-        self.bit = (over & 1).astype(np.int8)
-        self.share = (ones / (half + ones)).astype(np.float32)
-        self.lengths = np.bincount(token, minlength=n)
-        guess = other[token]
-        says = np.where((guess >= 0) & (guess >> (left + 1) == over >> 1), (guess >> left) & 1, 2)
-        run = block.run.astype(np.int32)[token]
-        self.gate = GATES + np.where(says == 2, 0, 1 + np.minimum(run, 6))
-        self.token, self.says = token, np.where(says == 2, -1, says * 8 + run).astype(np.int32)
-        place = (seed[symbol][token] ^ ((over >> 1) << 6 | left).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        word_row, left, over, half, ones = word_row[free], left[free], over[free], half[free], np.minimum(ones[free], half[free])
+        length = np.bincount(word_row, minlength=len(size))
+        self.row_bit, self.row_share = (over & 1).astype(np.int8), (ones / (half + ones)).astype(np.float32)
+        place = (seed[kind_of][word_row] ^ ((over >> 1) << 6 | left).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         place ^= place >> np.uint64(29)
-        hashes = (place, *(place + x[token] for x in after))
-        self.slots = [((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - NUMBER_BITS)).view(np.int64) + (k << NUMBER_BITS) for k, h in enumerate(hashes)]
+        slot = lambda h, k: ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - NUMBER_BITS)).view(np.int64) + (k << NUMBER_BITS)
+        self.row_slots, self.times = slot(place, 0), np.repeat(np.bincount(row, minlength=len(size)), length)
+        # one place a bit of the text
+        own = self.lengths = length[row]
+        each = lambda x: np.repeat(x, own)
+        at = self.at = each((np.cumsum(length) - length)[row] - (np.cumsum(own) - own)) + np.arange(int(own.sum()))
+        self.bit, place = self.row_bit.take(at), place.take(at)
+        self.slots = [slot(place + each(x), k) for k, x in enumerate(after, 1)]
+        self.gate, self.says = np.full(len(at), GATES, np.int64), np.full(len(at), -1, np.int32)
+        asked = np.flatnonzero(each(other >= 0))
+        guess, left, over, run = each(other)[asked], left.take(at[asked]), over.take(at[asked]), each(block.run)[asked]
+        fits = np.flatnonzero(guess >> (left + 1) == over >> 1)
+        asked, run = asked[fits], run[fits]
+        self.gate[asked] = GATES + 1 + np.minimum(run, 6)
+        self.says[asked] = (guess[fits] >> left[fits] & 1) * 8 + run
+
+    @property
+    def share(self) -> np.ndarray:
+        return self.row_share.take(self.at)
 
     def learn(self, table: np.ndarray, use: np.ndarray) -> None:
         """Count the outcomes of the tokens in ``use`` into table, zeros and ones by slot; what candidates say comes last."""
-        some = np.flatnonzero(use[self.token])
-        flat, bit, once = table.reshape(-1), self.bit[some], table.dtype.type(1)
+        flat, bit, once = table.reshape(-1), self.bit.astype(np.int64), table.dtype.type(1)
+        some = slice(None) if use.all() else np.flatnonzero(np.repeat(use, self.lengths))
+        times = self.times if use.all() else np.bincount(self.at[some], minlength=len(self.times))
+        np.add.at(flat, self.row_slots * 2 + self.row_bit, times.astype(table.dtype))
         for slots in self.slots:
-            np.add.at(flat, slots[some] * 2 + bit, once)
-        some = some[self.says[some] >= 0]
-        np.add.at(flat, (self.says[some].astype(np.int64) + (NUMBER_TABLES << NUMBER_BITS)) * 2 + self.bit[some], once)
+            np.add.at(flat, (slots * 2 + bit)[some], once)
+        says, bit = self.says[some], bit[some]
+        said = np.flatnonzero(says >= 0)
+        np.add.at(flat, (says[said].astype(np.int64) + (NUMBER_TABLES << NUMBER_BITS)) * 2 + bit[said], once)
 
     def bits(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As Bits has them. Each context leans on the one before it, the first on the share of the numbers. table: float32."""
-        x, p, pairs = np.empty((CONTEXTS, len(self.bit)), np.float32), self.share, table.reshape(-1).view(np.int64)
-        for k, slots in enumerate(self.slots):
-            found = pairs[slots].view(np.float32)
-            zero, one = found[::2], found[1::2]
-            np.divide(one + np.float32(LEAN) * p, zero + one + np.float32(LEAN), out=x[k])
-            p = x[k]
+        pairs, lean = table.reshape(-1).view(np.int64), np.float32(LEAN)
+
+        def leant(slots: np.ndarray, p: np.ndarray) -> np.ndarray:
+            found = pairs.take(slots).view(np.float32)
+            total = found[::2] + found[1::2]
+            total += lean
+            one = p * lean
+            one += found[1::2]
+            one /= total
+            return one
+
+        x = np.empty((CONTEXTS, len(self.bit)), np.float32)
+        leant(self.row_slots, self.row_share).take(self.at, out=x[0])
+        for k, slots in enumerate(self.slots, 1):
+            x[k] = leant(slots, x[k - 1])
         x[NUMBER_TABLES] = x[0]
         said = np.flatnonzero(self.says >= 0)
         found = table[self.says[said] + (NUMBER_TABLES << NUMBER_BITS)]
         x[NUMBER_TABLES, said] = (found[:, 1] + 0.4) / (found.sum(axis=1) + 0.8)
         np.clip(x, 1e-4, 1 - 1e-4, out=x)
-        return self.lengths, self.bit, self.gate, np.log(x / (1 - x)).T
+        x /= 1 - x
+        return self.lengths, self.bit, self.gate, np.log(x, out=x)
 
 
 NUMBER_SLOTS = (NUMBER_TABLES << NUMBER_BITS) + 16
@@ -719,15 +771,15 @@ def spelled_bits(block: Block, words: dict[int, bytes], speller: Speller) -> tup
     """As Bits has them, of the new words' spellings. words: by token number."""
     lengths, at = np.zeros(len(block.ids), np.int64), np.flatnonzero(block.new)
     if not len(at):
-        return lengths, np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros((0, CONTEXTS), np.float32)
+        return lengths, np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros((CONTEXTS, 0), np.float32)
     numbers, which = np.unique(block.ids[at], return_inverse=True)
     slots, bits, word = spelling([words[k] for k in numbers.tolist()])
     x, gate = speller.inputs(slots)
     sizes = np.bincount(word, minlength=len(numbers))
     own = lengths[at] = sizes[which]
     row = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-    inputs = np.zeros((len(row), CONTEXTS), np.float32)
-    inputs[:, :ORDERS] = x.T[row]
+    inputs = np.zeros((CONTEXTS, len(row)), np.float32)
+    inputs[:ORDERS] = x[:, row]
     return lengths, bits[row], 2 * GATES + gate[row], inputs
 
 
@@ -795,13 +847,13 @@ def _outcomes(all_words: Vocabulary):
             sizes, ids, counts, number, _ = all_words.unpacked(row)
             kind = row["text_kind"].as_py()
             use = np.array([not held_out(k) for k in row["doc_ids"].as_py()])
+            ids, sizes = ids[np.repeat(use, sizes)], sizes[use]
             for a, b in _texts_at_a_time(sizes):
-                if use[a:b].any():
-                    tokens = slice(int(sizes[:a].sum()), int(sizes[:b].sum()))
-                    block = Block(ids[tokens], sizes[a:b], counts, all_words.tree, all_words.tree.mass[kind], use[a:b], True)
-                    for k, found in enumerate(block.outcomes(use[a:b])):
-                        table[:SLOTS, k] += found
-                    Numbers(block, kind, number, all_words.whole[all_words.kinds.index(kind)]).learn(table[SLOTS:], use[a:b][block.doc])
+                tokens, every = slice(int(sizes[:a].sum()), int(sizes[:b].sum())), np.ones(b - a, bool)
+                block = Block(ids[tokens], sizes[a:b], counts, all_words.tree, all_words.tree.mass[kind], every, True)
+                for k, found in enumerate(block.outcomes(every)):
+                    table[:SLOTS, k] += found
+                Numbers(block, kind, number, all_words.whole[all_words.kinds.index(kind)]).learn(table[SLOTS:], every[block.doc])
         for k in range(0, len(table), PIECE):
             if table[k : k + PIECE].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([pack(table[k : k + PIECE].ravel())], pa.binary())], ["piece", "outcomes"])
@@ -829,14 +881,17 @@ def score_block(kind: int, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarra
     docs = len(sizes)
     doc = np.repeat(np.arange(docs), sizes)
     every, weights = counts[1], first_weights(speller)
+    by_size = np.argsort(-sizes, kind="stable")  # long texts advance together
+    own, starts = sizes[by_size], np.cumsum(sizes) - sizes
     base = np.bincount(doc, np.log10((every + 1) / (total + distinct + 1))[ids], docs)
     known = np.bincount(doc, (every > 0)[ids], docs).astype(np.int64)
     score = np.zeros(docs)
-    for a, b in _texts_at_a_time(sizes):
-        first, last = int(sizes[:a].sum()), int(sizes[:b].sum())
-        block = Block(ids[first:last], sizes[a:b], counts, all_words.tree, all_words.tree.mass[kind], numbered=True)
+    for a, b in _texts_at_a_time(np.maximum(own, 16)):  # a text has a row at least
+        some = own[a:b]
+        tokens = np.repeat(starts[by_size[a:b]] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))
+        block = Block(ids[tokens], some, counts, all_words.tree, all_words.tree.mass[kind], numbered=True)
         below = Numbers(block, kind, number, all_words.whole[all_words.kinds.index(kind)]).bits(table), spelled_bits(block, words, speller)
-        score[a:b] = np.bincount(doc[first:last] - a, token_scores(block, stretched, below=below, weights=weights), b - a)
+        score[by_size[a:b]] = np.bincount(block.doc, token_scores(block, stretched, below=below, weights=weights), b - a)
     return sizes, known, base, score
 
 

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, over tables with all the awkward rows."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -400,6 +401,37 @@ def test_weights_of_spelling_follow_the_text():
     assert int(fixed[0][0]) == 80 and abs(alone[0] - late[300]) > 1e-3
 
 
+def test_long_texts_advance_together(monkeypatch):
+    """Before, parts of a block took its texts as they came, so that each had a few long ones; and texts that teach nothing were numbered for the tables."""
+    model, rng = Numbered(7), random.Random(7)
+    texts = [[rng.choice([*model.near, b"own1", b"own2"]) for _ in range(n)] for n in (3, 200, 0, 90, 201, 1, 150, 90)]
+    tokens = [b"", *dict.fromkeys(w for t in texts for w in t)]
+    counts = np.array([[c.get(t, 0) for t in tokens] for c in (model.near, model.every)])
+    sizes, ids = np.array([len(t) + 1 for t in texts]), np.array([i for t in texts for i in [*map(tokens.index, t), 0]])
+    number = np.array([model.number.get(t, 0) for t in tokens])
+    words = lm_score.Vocabulary(model.tree, [8], 7, {0: model.whole[None]})
+    scored = lambda sizes, ids: lm_score.score_block(8, sizes, ids, counts, number, dict(enumerate(tokens)), words, model.stretched, model.table.astype(np.float32), model.speller, 99, 9)
+    alone = np.array([scored(x[:1], y)[3][0] for x, y in ((sizes[k:], ids[sizes[:k].sum() : sizes[: k + 1].sum()]) for k in range(len(texts)))])
+    made, block = [], lm_score.Block
+    monkeypatch.setattr(lm_score, "Block", lambda ids, sizes, *a, **b: made.append(sizes.tolist()) or block(ids, sizes, *a, **b))
+    monkeypatch.setattr(lm_score._texts_at_a_time, "__defaults__", (250,))
+    n, known, base, score = scored(sizes, ids)
+    assert len(made) > 2 and sum(made, []) == sorted(sizes.tolist(), reverse=True)
+    assert np.allclose(score, alone, atol=1e-4) and n.tolist() == sizes.tolist()
+    made.clear()
+    keys = [next(k for k in itertools.count(100 * i) if lm_score.held_out(k) == (i in (1, 4))) for i in range(len(texts))]
+    row = {"sizes": pa.array([sizes.tolist()]), "ids": pa.array([lm_score.pack(ids)]), "text_kind": pa.array([8]), "doc_ids": pa.array([keys]), "held": pa.array([None], pa.list_(pa.struct([("at", pa.binary())])))}
+    list(lm_score._outcomes(words)(iter([pa.RecordBatch.from_pydict(row)])))
+    assert sum(made, []) == [x for i, x in enumerate(sizes.tolist()) if i not in (1, 4)]
+
+
+def test_packed_numbers_take_as_few_bytes_as_they_need():
+    for most, width in ((0, 1), (127, 1), (128, 2), (1 << 15, 4), (1 << 31, 8)):
+        x = np.array([0, 5, -most, most])
+        raw = lm_score.pack(x)
+        assert lm_score.unpack(raw).tolist() == x.tolist() and len(lm_score._plain(raw[1:])) == 4 * width
+
+
 def test_numbers_do_not_depend_on_the_parts(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(k, " ".join("w%d" % rng.randrange(900) for _ in range(60))) for k in range(120)]
